@@ -1,0 +1,5 @@
+"""No streaming operator is defined: all inputs of this library are whole tables.
+
+The column functions (ids, vectors, scores, losses) and ``score_with`` keep no
+state, so they also apply to a streaming DataFrame as they are.
+"""
