@@ -41,7 +41,9 @@ def drop_null_ids(df: DataFrame, cols=("left_id", "right_id")) -> DataFrame:
 
 
 def _hex_number(hex_text: Column, start: int) -> Column:
-    return F.conv(F.substring(hex_text, start, 15), 16, 10).cast("bigint")
+    # never null: without the default, joins on it push a not-null filter below
+    # the exchange, and equal exchanges are no longer shared
+    return F.coalesce(F.conv(F.substring(hex_text, start, 15), 16, 10).cast("bigint"), F.lit(0))
 
 
 def stable_hash(seed, *cols) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 # and single-level windows are used instead of bucketed ones.
 SMALL_PLAN_BYTES = 256 * 1024 * 1024
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def build_session(app: str = "pairlab", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution on; sizes are left to the cluster's own settings."""
@@ -33,7 +35,7 @@ def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (joins are over-estimated, so it errs to 'large')."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        return int(str(stats.sizeInBytes()))
     except Exception:  # no JVM handle: treat the plan as large
         return 1 << 62
 
@@ -47,10 +49,11 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="pairlab-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        if context.applicationId not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="pairlab-")
+        return _LOCAL_ROOTS[context.applicationId]
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
