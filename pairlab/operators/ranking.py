@@ -115,9 +115,10 @@ def split_evenly(
     message = F.concat(F.lit(f"cannot split into {k} parts: only "), F.col("_total").cast("string"), F.lit(" rows"))
     enough = F.when(F.col("_total") < k, F.raise_error(message).cast("bigint")).otherwise(F.col("_total"))
     if not bucketed:
-        everything = Window.partitionBy(F.lit(0))
-        ranked = df.withColumn("_rank0", F.row_number().over(everything.orderBy(*order)) - 1)
-        ranked = ranked.withColumn("_total", F.count(F.lit(1)).over(everything)).withColumn("_total", enough)
+        everything = Window.partitionBy(F.lit(0)).orderBy(*order)
+        total = F.count(F.lit(1)).over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        ranked = df.select("*", (F.row_number().over(everything) - 1).alias("_rank0"), total.alias("_total"))
+        ranked = ranked.withColumn("_total", enough)
         return ranked.select(*df.columns, part_of("_rank0").alias(out))
     keyed = df.withColumn("_bucket", bucket)
     checked = bucket_offsets(keyed, "_bucket").withColumn("_total", enough)
