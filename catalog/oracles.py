@@ -156,8 +156,9 @@ METRIC_ROWS = f"""{STEPS},
                count(*) filter (where label = 0 and score > 0.5) as fp,
                count(*) filter (where label = 1 and score <= 0.5) as fn,
                count(*) filter (where label = 1 and score > 0.5) as tp,
-               avg(-ln(case when label = 1 then p1 else 1 - p1 end)) as loss
-        from (select *, greatest(1e-15::double, least(1 - 1e-15::double, score)) as p1 from scored) group by fold
+               avg(-ln(greatest(1e-15::double, least(1 - 1e-15::double, case when label = 1 then score else 1 - score end))))
+                   as loss
+        from scored group by fold
     ),
     rates as (
         select fold, tn, fp, fn, tp, loss,
@@ -493,7 +494,7 @@ SQL = {
     "ce_loss": loss_by_fold("-ln(pt)"),
     "ce_loss_clipped": loss_by_fold(
         "-ln(greatest(1e-15::double, least(1 - 1e-15::double, case when label = 1 then score else 1 - score end)))", TIES
-    ).replace("1 - score end)))", "1 - score end)))"),
+    ),
     "ce_loss_logits": f"""
         select l_linenumber - 1 as fold,
                {r6("avg(ln(exp(l_quantity / 10.0) + exp(l_discount * 60.0)) - case when l_returnflag = 'R' then l_discount * 60.0 else l_quantity / 10.0 end)", 'loss')}
@@ -578,9 +579,9 @@ SQL = {
                {r6('cast(cast(p_retailprice as float) as double)', 'dim_2')}, cast(fold as bigint) as fold
         from split join part on cast(p_partkey as varchar) = left_id""",
     "raw_features_export": f"""with {SPLIT}
-        select right_id, label, {r6('cast(s_acctbal as float)', 'right_seq_dim_0')},
-               {r6('cast(s_nationkey as float)', 'right_seq_dim_1')}, {r6('cast(s_acctbal as float)', 'right_graph_dim_0')},
-               {r6('cast(s_nationkey as float)', 'right_ecfp_dim_0')}, cast(fold as bigint) as fold
+        select right_id, label, {r6('cast(cast(s_acctbal as float) as double)', 'right_seq_dim_0')},
+               {r6('cast(s_nationkey as double)', 'right_seq_dim_1')}, {r6('cast(cast(s_acctbal as float) as double)', 'right_graph_dim_0')},
+               {r6('cast(s_nationkey as double)', 'right_ecfp_dim_0')}, cast(fold as bigint) as fold
         from split join supplier on cast(s_suppkey as varchar) = right_id""",
     "cross_validate_predictions": f"""with {STRONG}, {SPLIT_STRONG.replace('ntile(5)', 'ntile(2)')}
         select left_id, right_id, label, fold from split""",

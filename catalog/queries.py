@@ -18,7 +18,7 @@ LINEAR = (0.04, -0.00002, 3.0, -0.6)
 
 def r6(name: str, alias: str | None = None):
     """A double rounded to six places, without negative zeros."""
-    return (F.round(F.col(name), 6) + F.lit(0.0)).alias(alias or name)
+    return (F.round(F.col(name).cast("double"), 6) + F.lit(0.0)).alias(alias or name)
 
 
 def big(name: str):
@@ -237,8 +237,7 @@ def violation_examples(spark, sf):
 
 
 def _vector_sum(name: str, alias: str):
-    total = F.aggregate(F.col(name), F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
-    return F.round(total, 3).alias(alias)
+    return F.round(vectors.vector_sum(name), 3).alias(alias)
 
 
 def _assembled(spark, sf, **kw) -> DataFrame:
@@ -643,19 +642,14 @@ def all_folds_predictions(spark, sf):
     return back.select("left_id", "right_id", "true_label", r6("predicted_score"), "fold")
 
 
-def _concat_config() -> ExperimentConfig:
-    return ExperimentConfig(fusion="concat", n_folds=5)
-
-
 def _split(spark, sf) -> DataFrame:
     return folds.assign_folds(_labelled(spark, sf), 5, 42)
 
 
 def fused_features_concat(spark, sf):
     """Each held-out pair's side vectors, modalities end to end, written and read back."""
-    cfg = _concat_config()
-    mods = {k: t for k, t in fx.modalities(spark, sf).items() if k[1] != "disease"}
-    rows = experiment.fused_features(_split(spark, sf), mods, cfg)
+    cfg = ExperimentConfig(fusion="concat", enabled=("left_seq", "left_struct", "right_seq", "right_struct"))
+    rows = experiment.fused_features(_split(spark, sf), fx.modalities(spark, sf), cfg)
     path = fx.scratch(spark, "fused")
     outputs.write_fused_features(rows, path, "left", 3, "parquet")
     back = outputs.read_all_folds(spark, path, "parquet")
@@ -678,7 +672,7 @@ def raw_features_export(spark, sf):
 
 
 def _run_config(**kw) -> ExperimentConfig:
-    base = {"common_dim": 8, "classifier_params": {"maxIter": 15}}
+    base = {"common_dim": 8, "classifier_params": {"maxIter": 15}, "parallel_folds": 4}
     return ExperimentConfig(**{**base, **kw})
 
 

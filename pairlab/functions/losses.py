@@ -19,13 +19,17 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _clipped(p: Column) -> Column:
+    return F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), p))
+
+
 def log_probabilities(score=None, logits=None) -> tuple[Column, Column]:
     """(ln p of class 0, ln p of class 1)."""
     if (score is None) == (logits is None):
         raise ValueError("give exactly one of score and logits")
     if score is not None:
-        p = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), _col(score).cast("double")))
-        return F.log(1.0 - p), F.log(p)
+        p = _col(score).cast("double")
+        return F.log(_clipped(1.0 - p)), F.log(_clipped(p))
     z0 = F.get(_col(logits), F.lit(0)).cast("double")
     z1 = F.get(_col(logits), F.lit(1)).cast("double")
     top = F.greatest(z0, z1)

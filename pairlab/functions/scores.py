@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairlab.functions.vectors import bound, vector_sum
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -13,10 +15,11 @@ def _col(c) -> Column:
 def softmax(col) -> Column:
     """Probabilities of a logit vector, shifted by its maximum for safety."""
     col = _col(col).cast("array<double>")
-    top = F.array_max(col)
-    powers = F.transform(col, lambda v: F.exp(v - top))
-    total = F.aggregate(powers, F.lit(0.0).cast("double"), lambda a, v: a + v)
-    return F.transform(powers, lambda v: v / total)
+
+    def shares(powers):
+        return bound(vector_sum(powers), lambda total: F.transform(powers, lambda v: v / total))
+
+    return bound(F.array_max(col), lambda top: bound(F.transform(col, lambda v: F.exp(v - top)), shares))
 
 
 def positive_score(logits) -> Column:

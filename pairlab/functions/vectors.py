@@ -101,18 +101,29 @@ def vector_rows(df: DataFrame, keys: Sequence[str], col: str, value: str = "valu
     return df.select(*keys, F.posexplode(_col(col)).alias("pos", value))
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, not at every place it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def vector_sum(col) -> Column:
+    """Sum of a vector's elements."""
+    return F.aggregate(_col(col), F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+
 def row_normalise(col) -> Column:
     """(x - mean) / std over the elements of one vector; constant vectors give zeros."""
     col = _col(col)
     n = F.size(col).cast("double")
-    mean = F.aggregate(col, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")) / n
 
-    def spread(acc, x):
-        d = x.cast("double") - mean
-        return acc + d * d
+    def centred(mean):
+        return F.transform(col, lambda x: x.cast("double") - mean)
+
+    def scaled(c):
+        std = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x) / n)
+        return bound(std, lambda s: F.transform(c, lambda x: F.when(s > 0, x / s).otherwise(F.lit(0.0))))
 
-    std = F.sqrt(F.aggregate(col, F.lit(0.0).cast("double"), spread) / n)
-    return F.transform(col, lambda x: F.when(std > 0, (x.cast("double") - mean) / std).otherwise(0.0))
+    return bound(vector_sum(col) / n, lambda mean: bound(centred(mean), scaled))
 
 
 def pad_vector(col, dim: int) -> Column:

@@ -70,36 +70,45 @@ def with_structure(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {("struct" if k == "graph" else k): (merged if k == "graph" else t) for k, t in tables.items() if k != "ecfp"}
 
 
-def side_vectors(
-    tables: Tables, side: str, train: DataFrame, cfg: ExperimentConfig, weights=None
-) -> DataFrame:
+def side_entities(tables: Tables, side: str, cfg: ExperimentConfig) -> DataFrame:
+    """One row per entity with all its enabled modalities, stored once for all folds."""
+    enabled = with_structure(enabled_side(tables, side, cfg))
+    return materialise(side_table(enabled, f"{side}_id", side), f"{side}-entities", always=True)
+
+
+def side_vectors(entities: DataFrame, side: str, train: DataFrame, cfg: ExperimentConfig, weights=None) -> DataFrame:
     """(side id, side vector) per entity, with projections fitted on the training pairs' entities."""
     key, out = f"{side}_id", f"{side}_fused"
-    entities = side_table(with_structure(enabled_side(tables, side, cfg)), key, side)
     if cfg.fusion == "concat":
         return concat_side(entities, key, out)
     return fuse_side(entities, key, train.select(key).distinct(), cfg.common_dim, out, weights)
 
 
-def fold_features(split: DataFrame, tables: Tables, fold: int, cfg: ExperimentConfig) -> DataFrame:
+def fold_features(split: DataFrame, left: DataFrame, right: DataFrame, fold: int, cfg: ExperimentConfig) -> DataFrame:
     """The split's pairs with ``left_fused`` and ``right_fused`` as fold ``fold`` sees them."""
     train = train_part(split, fold)
-    left = side_vectors(tables, "left", train, cfg)
-    right = side_vectors(tables, "right", train, cfg)
-    return join_sides(split, left, right, cfg.missing)
+    left_vectors = side_vectors(left, "left", train, cfg)
+    right_vectors = side_vectors(right, "right", train, cfg)
+    return join_sides(split, left_vectors, right_vectors, cfg.missing)
+
+
+def _on_folds(spark, run, cfg: ExperimentConfig) -> list:
+    """``run(fold)`` for every fold from a few threads, so that their small jobs overlap."""
+    target = inheritable_thread_target(spark)
+    with ThreadPool(max(1, cfg.parallel_folds)) as pool:
+        return pool.map(target(run), range(cfg.n_folds))
 
 
-def fused_features(split: DataFrame, tables: Tables, cfg: ExperimentConfig, folds: Iterable[int] | None = None) -> DataFrame:
+def fused_features(split: DataFrame, tables: Tables, cfg: ExperimentConfig) -> DataFrame:
     """Per held-out pair the fused vector of either side, for export."""
-    runs = range(cfg.n_folds) if folds is None else folds
-    return reduce(
-        DataFrame.unionByName,
-        [val_part(fold_features(split, tables, fold, cfg), fold) for fold in runs],
-    )
+    split = materialise(split, "split", always=True)
+    left, right = side_entities(tables, "left", cfg), side_entities(tables, "right", cfg)
+    run = lambda fold: val_part(fold_features(split, left, right, fold, cfg), fold)
+    return reduce(DataFrame.unionByName, _on_folds(split.sparkSession, run, cfg))
 
 
-def _run_fold(split: DataFrame, tables: Tables, fold: int, cfg: ExperimentConfig) -> DataFrame:
-    rows = fold_features(split, tables, fold, cfg)
+def _run_fold(split: DataFrame, left: DataFrame, right: DataFrame, fold: int, cfg: ExperimentConfig) -> DataFrame:
+    rows = fold_features(split, left, right, fold, cfg)
     rows = rows.select("left_id", "right_id", "label", "fold", concat_vectors("left_fused", "right_fused").alias("features"))
     model = fit_fold(
         train_part(rows, fold),
@@ -114,13 +123,12 @@ def _run_fold(split: DataFrame, tables: Tables, fold: int, cfg: ExperimentConfig
 def cross_validate(split: DataFrame, tables: Tables, cfg: ExperimentConfig) -> CrossValidation:
     """Fit and score every fold, then evaluate and summarise.
 
-    Folds are submitted from a few threads so that one fold's small jobs overlap
-    another's.  Held-out scores are stored once; metrics are read from them.
+    The split, the entity tables and the held-out scores are stored once; every
+    fold reads the first two and all metrics are read from the scores.
     """
-    split = materialise(split, "split")
-    target = inheritable_thread_target(split.sparkSession)
-    with ThreadPool(max(1, cfg.parallel_folds)) as pool:
-        parts = pool.map(target(lambda fold: _run_fold(split, tables, fold, cfg)), range(cfg.n_folds))
+    split = materialise(split, "split", always=True)
+    left, right = side_entities(tables, "left", cfg), side_entities(tables, "right", cfg)
+    parts = _on_folds(split.sparkSession, lambda fold: _run_fold(split, left, right, fold, cfg), cfg)
     predictions = materialise(reduce(DataFrame.unionByName, parts), "predictions", always=True)
     params = {
         "focal": {"alpha": cfg.focal_alpha, "gamma": cfg.focal_gamma},
@@ -132,7 +140,7 @@ def cross_validate(split: DataFrame, tables: Tables, cfg: ExperimentConfig) -> C
 
 def ablation(split: DataFrame, tables: Tables, cfg: ExperimentConfig, subsets: Sequence[Sequence[str]]) -> DataFrame:
     """Fold metrics of a run per switch subset, with a ``modalities`` column."""
-    split = materialise(split, "split")
+    split = materialise(split, "split", always=True)
     parts = []
     for subset in subsets:
         run = cross_validate(split, tables, replace(cfg, enabled=tuple(subset)))
@@ -150,6 +158,7 @@ def projection_2d(
     A view exists only if all its modality columns are there on both sides.
     ``fused`` adds the view of the fused vectors.
     """
+    assembled = materialise(assembled, "assembled", always=True)
     parts = []
     sources = []
     for view, (left, right) in (views or VIEWS).items():
