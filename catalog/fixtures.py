@@ -14,13 +14,20 @@ from pyspark.sql import Window
 
 from pairlab.operators.features import onehot_associations, vocabulary
 from pairlab.session import scratch_root
-from pairlab.sources.tables import as_features, read_pairs
+from pairlab.sources.tables import as_features, as_pairs
 
 ONEHOT_DIM = 25
 
 
+_SCHEMAS: dict = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its schema is looked up once per path."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -29,7 +36,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every line's (part, supplier) pair; pairs repeat."""
-    return read_pairs(spark, f"{sf}/lineitem.parquet", "l_partkey", "l_suppkey")
+    return as_pairs(table(spark, sf, "lineitem"), "l_partkey", "l_suppkey")
 
 
 def positives(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +51,7 @@ def strong_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def activity_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """(user, event type): every combination occurs, so no negative exists."""
-    return read_pairs(spark, f"{sf}/events.parquet", "user_id", "event_type")
+    return as_pairs(table(spark, sf, "events"), "user_id", "event_type")
 
 
 def left_numbers(spark: SparkSession, sf: str) -> DataFrame:

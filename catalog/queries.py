@@ -53,7 +53,7 @@ def drop_null_ids(spark, sf):
 
 
 def read_pairs_dedup(spark, sf):
-    return fx.pairs(spark, sf).distinct()
+    return tables.read_pairs(spark, f"{sf}/lineitem.parquet", "l_partkey", "l_suppkey").distinct()
 
 
 def read_features_vector(spark, sf):
@@ -672,7 +672,7 @@ def raw_features_export(spark, sf):
 
 
 def _run_config(**kw) -> ExperimentConfig:
-    base = {"common_dim": 8, "classifier_params": {"maxIter": 15}, "parallel_folds": 4}
+    base = {"common_dim": 8, "classifier_params": {"maxIter": 15}, "parallel_folds": 5}
     return ExperimentConfig(**{**base, **kw})
 
 

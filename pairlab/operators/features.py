@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairlab.functions.ids import stable_hash
 from pairlab.functions.vectors import concat_vectors
 from pairlab.operators.ranking import hash_bucket, rank_rows
-from pairlab.session import plan_bytes
+from pairlab.session import materialise, plan_bytes
 
 # A key outside the HOT_KEYS most frequent ones holds at most 1/HOT_KEYS of the rows.
 HOT_KEYS = 1024
@@ -33,24 +33,52 @@ def _broadcast_limit(df: DataFrame) -> int:
     return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
 
 
-def lookup(pairs: DataFrame, table: DataFrame, key: str, how: str = "left", split_hot: bool | None = None) -> DataFrame:
+def hot_keys(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, _salts): keys holding more than 1/1,024 of the rows, at most 1,024 of them.
+
+    ``_salts`` parts bring each down to that share; all parts together are at
+    most 2,048, so both this table and the copies made from it stay small.
+    """
+    counts = pairs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.orderBy(F.desc("_n"), key).limit(HOT_KEYS).withColumn("_one", F.lit(0))
+    total = counts.groupBy().agg(F.sum("_n").alias("_total")).withColumn("_one", F.lit(0))
+    salts = F.ceil(F.col("_n") * HOT_KEYS / F.col("_total")).cast("int")
+    return top.join(F.broadcast(total), "_one").select(key, salts.alias("_salts")).filter("_salts > 1")
+
+
+def salted_join(pairs: DataFrame, table: DataFrame, key: str, how: str, hot: DataFrame) -> DataFrame:
+    """Join on the key and a salt: the rows of a hot key spread over several tasks."""
+    hot = F.broadcast(hot)
+    part = F.coalesce(F.pmod(F.xxhash64(*pairs.columns), F.col("_salts")).cast("int"), F.lit(0))
+    spread = pairs.join(hot, key, "left").select(*pairs.columns, part.alias("_salt"))
+    every = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    copies = table.join(hot, key, "left").select(*table.columns, F.explode(every).alias("_salt"))
+    return spread.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def lookup(
+    pairs: DataFrame,
+    table: DataFrame,
+    key: str,
+    how: str = "left",
+    split_hot: bool | None = None,
+    ids: DataFrame | None = None,
+) -> DataFrame:
     """Join a per-entity table (unique on ``key``) to the pairs.
 
     A table below Spark's broadcast threshold is left to Catalyst.  A larger one
-    is shuffled, which a hub entity would skew: the pairs of the 1,024 most
-    frequent keys are therefore joined to a broadcast of those few table rows,
-    and only the rest, where no key holds more than 1/1,024 of the rows, shuffles.
+    is shuffled, which a hub entity would skew: keys holding more than 1/1,024
+    of the pairs are salted.  ``ids`` is a narrow table to count the keys on.
     """
     if split_hot is None:
+        if plan_bytes(table) > _broadcast_limit(table):
+            # stored once, its true size is known and no branch repeats its plan
+            table = materialise(table, f"lookup-{key}", always=True)
         split_hot = plan_bytes(table) > _broadcast_limit(table)
     if not split_hot:
         return pairs.join(table, key, how)
-    counts = pairs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(key)
-    hot_rows = F.broadcast(hot).join(table, key, how)
-    common = pairs.join(F.broadcast(hot_rows), key)
-    rare = pairs.join(F.broadcast(hot), key, "left_anti").join(table, key, how)
-    return common.unionByName(rare)
+    source = pairs if ids is None else ids
+    return salted_join(pairs, table, key, how, hot_keys(source.select(key), key))
 
 
 def side_table(tables: dict[str, DataFrame], key: str, prefix: str) -> DataFrame:
@@ -114,7 +142,7 @@ def join_sides(
     right_cols = [c for c in right.columns if c != "right_id"]
     how = "inner" if missing == "drop" else "left"
     joined = lookup(pairs, left, "left_id", how, split_hot)
-    joined = lookup(joined, right, "right_id", how, split_hot)
+    joined = lookup(joined, right, "right_id", how, split_hot, ids=pairs)
     if missing == "drop":
         joined = joined.dropna(subset=[*left_cols, *right_cols])
     dims = dims or {}
