@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -84,8 +84,6 @@ def normalised_weights(spark: SparkSession, raw: dict[str, dict[str, float]]) ->
 
 def softmax_by(df: DataFrame, by: str, raw: str, out: str) -> DataFrame:
     """Softmax of a number over the rows of each group."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(by)
     shifted = F.exp(F.col(raw) - F.max(raw).over(w))
     return df.withColumn("_e", shifted).withColumn(out, F.col("_e") / F.sum("_e").over(w)).drop("_e")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.functions.ids import stable_hash
 from pairlab.functions.vectors import concat_vectors
 from pairlab.operators.ranking import hash_bucket, rank_rows
+from pairlab.operators.sampling import negative_capacity
 from pairlab.session import materialise, plan_bytes
 
 # A key outside the HOT_KEYS most frequent ones holds at most 1/HOT_KEYS of the rows.
@@ -39,11 +40,13 @@ def hot_keys(pairs: DataFrame, key: str) -> DataFrame:
     ``_salts`` parts bring each down to that share; all parts together are at
     most 2,048, so both this table and the copies made from it stay small.
     """
-    counts = pairs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.orderBy(F.desc("_n"), key).limit(HOT_KEYS).withColumn("_one", F.lit(0))
-    total = counts.groupBy().agg(F.sum("_n").alias("_total")).withColumn("_one", F.lit(0))
-    salts = F.ceil(F.col("_n") * HOT_KEYS / F.col("_total")).cast("int")
-    return top.join(F.broadcast(total), "_one").select(key, salts.alias("_salts")).filter("_salts > 1")
+    known = pairs.filter(F.col(key).isNotNull())
+    # the roll-up adds the total as the row without a key, which always sorts first
+    counts = known.rollup(key).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.orderBy(F.desc("_n"), F.asc_nulls_first(key)).limit(HOT_KEYS + 1)
+    total = F.max("_n").over(Window.partitionBy(F.lit(0)))
+    salts = F.ceil(F.col("_n") * HOT_KEYS / total).cast("int")
+    return top.select(key, salts.alias("_salts")).filter(F.col(key).isNotNull() & (F.col("_salts") > 1))
 
 
 def salted_join(pairs: DataFrame, table: DataFrame, key: str, how: str, hot: DataFrame) -> DataFrame:
@@ -194,8 +197,6 @@ def missing_features(pairs: DataFrame, tables: dict[tuple[str, str], DataFrame])
 def vocabulary(assoc: DataFrame, target: str) -> DataFrame:
     """(target, idx): the distinct targets numbered from 0 in id order."""
     # a vocabulary is as long as one vector is wide, so one ordered window holds it
-    from pyspark.sql import Window
-
     known = assoc.select(target).filter(F.col(target).isNotNull()).distinct()
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(target)) - 1
     return known.withColumn("idx", place.cast("int"))
@@ -225,8 +226,6 @@ def onehot_associations(assoc: DataFrame, entity: str, target: str, vocab: DataF
 
 def dataset_summary(pairs: DataFrame, tables: dict[tuple[str, str], DataFrame]) -> DataFrame:
     """(item, value) rows: pair counts, entities, possible negatives, rows and widths per modality."""
-    from pairlab.operators.sampling import negative_capacity
-
     capacity = negative_capacity(pairs)
     rows = pairs.groupBy().agg(F.count(F.lit(1)).alias("pair_rows"))
     parts = [

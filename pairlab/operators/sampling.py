@@ -79,15 +79,16 @@ def accepted_draws(draws: DataFrame, positives: DataFrame) -> DataFrame:
 def attempts_needed(wanted: int, available: int, possible: int, cap: int) -> int:
     """Draws that yield ``min(wanted, available)`` distinct free pairs, at most ``cap``.
 
-    After m draws a free pair is still missing with probability exp(-m/possible).
-    The missing count is held by a Chernoff bound, so m falls short with odds
-    below 1e-12 and one pass is enough.
+    The smaller of two Chernoff bounds, each failing with odds below 1e-12, so
+    that one pass is enough.  Sparse case: every draw is accepted with at least
+    the odds left when one pair is still wanted.  Dense case: after m draws a
+    free pair is missing with odds exp(-m/possible), and few enough must be.
     """
     target = min(wanted, available)
     if target <= 0:
         return 0
     spare = available - target
-    goal = math.log(FAILURE_ODDS)
+    doubt = -math.log(FAILURE_ODDS)
 
     def log_tail(mean: float) -> float:
         # ln of the bound on P(missing >= spare + 1)
@@ -97,9 +98,11 @@ def attempts_needed(wanted: int, available: int, possible: int, cap: int) -> int
     low, high = 0.0, spare + 1.0
     for _ in range(200):
         mid = (low + high) / 2
-        low, high = (mid, high) if log_tail(mid) <= goal else (low, mid)
-    mean = max(low, 1e-300)
-    draws = possible * (math.log(available) - math.log(mean))
+        low, high = (mid, high) if log_tail(mid) <= -doubt else (low, mid)
+    draws = possible * (math.log(available) - math.log(max(low, 1e-300)))
+    if spare:
+        accepted = target + doubt + math.sqrt(doubt * doubt + 2 * doubt * target)
+        draws = min(draws, accepted * possible / spare)
     return min(cap, max(target, math.ceil(draws) + 1))
 
 
