@@ -28,10 +28,11 @@ def curve_points(df: DataFrame, by="fold", kind: str = "roc", cuts: Sequence[flo
         x, y, y0 = tp / pos, tp / (tp + fp), 1.0
     else:
         raise ValueError(f"unknown curve {kind!r}")
-    points = steps.select(*keys, F.col("score").alias("threshold"), x.alias("x"), y.alias("y"))
-    start = steps.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    none = F.lit(None).cast("double").alias("threshold")
-    return points.unionByName(start.select(*keys, none, F.lit(0.0).alias("x"), F.lit(y0).alias("y")))
+    point = F.struct(F.col("score").alias("threshold"), x.alias("x"), y.alias("y"))
+    start = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("x"), F.lit(y0).alias("y"))
+    # the highest score of a group, and only it, has nothing counted above it
+    highest = (F.col("tp") == F.col("p")) & (F.col("fp") == F.col("n"))
+    return steps.select(*keys, F.inline(F.when(highest, F.array(start, point)).otherwise(F.array(point))))
 
 
 def _grid_x(i: Column, n: int) -> Column:
@@ -60,17 +61,23 @@ def interpolate_curve(points: DataFrame, by="fold", kind: str = "roc", n: int =
     # even cells sit exactly on a grid value, odd cells lie right of it
     cell = 2 * F.col("_i") + (F.col("x") > _grid_x(F.col("_i"), n)).cast("int")
     point = F.struct("x", "_s", "y")
-    cells = placed.groupBy(*keys, cell.alias("_cell")).agg(
-        F.min(point).alias("_first"), F.max(point).alias("_last"), F.lit(None).cast("int").alias("i")
-    )
-    grid = cells.select(*keys).distinct().select(
-        *keys, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")
+    cells = placed.groupBy(*keys, cell.alias("_cell")).agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    own = F.struct(
+        F.col("_cell").cast("double").alias("_at"), "_first", "_last", F.lit(None).cast("int").alias("i")
     )
+    none = F.lit(None).cast(placed.select(point.alias("p")).schema["p"].dataType)
     # a grid value comes after the points on it and before those right of it
-    rows = cells.select(*keys, F.col("_cell").cast("double").alias("_at"), "_first", "_last", "i").unionByName(
-        grid.select(*keys, (2.0 * F.col("i") + 0.5).alias("_at"), "i"), allowMissingColumns=True
+    marks = F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda i: F.struct((2.0 * i + 0.5).alias("_at"), none.alias("_first"), none.alias("_last"), i.alias("i")),
+    )
+    # the group's first cell also brings the grid, so that the curve is read only once
+    numbered = cells.withColumn("_no", F.row_number().over(group.orderBy("_cell")))
+    rows = numbered.select(
+        *keys, F.inline(F.when(F.col("_no") == 1, F.concat(F.array(own), marks)).otherwise(F.array(own)))
     )
-    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_at")
+    along = group.orderBy("_at")
     before = F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
     near = rows.select(*keys, "i", before.alias("_a"), after.alias("_b")).filter("i is not null")
@@ -83,14 +90,14 @@ def interpolate_curve(points: DataFrame, by="fold", kind: str = "roc", n: int =
     return near.select(*keys, "i", gx.alias("x"), read.alias("y"))
 
 
-def mean_curve(grid: DataFrame, kind: str = "roc") -> DataFrame:
+def mean_curve(grid: DataFrame, kind: str = "roc", n: int = GRID_POINTS) -> DataFrame:
     """(i, x, mean, std, lower, upper) over all groups; the ROC mean ends at 1."""
     agg = grid.groupBy("i").agg(
         F.first("x").alias("x"), F.avg("y").alias("_mean"), F.stddev_pop("y").alias("std")
     )
     mean = F.col("_mean")
     if kind == "roc":
-        mean = F.when(F.col("i") == GRID_POINTS - 1, F.lit(1.0)).otherwise(mean)
+        mean = F.when(F.col("i") == n - 1, F.lit(1.0)).otherwise(mean)
     out = agg.withColumn("mean", mean)
     return out.select(
         "i",

@@ -68,18 +68,27 @@ def val_part(split: DataFrame, fold: int) -> DataFrame:
 
 
 def check_overlap(positives: DataFrame, negatives: DataFrame) -> DataFrame:
-    """Distinct pairs present in both tables; must be empty."""
-    return positives.select(*PAIR).intersect(negatives.select(*PAIR))
+    """Distinct pairs present in both tables; must be empty.  One shuffle for both."""
+    pos = positives.select(*PAIR, F.lit(1).alias("_side"))
+    both = pos.unionByName(negatives.select(*PAIR, F.lit(0).alias("_side")))
+    spread = both.groupBy(*PAIR).agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi"))
+    return spread.filter("_lo < _hi").select(*PAIR)
 
 
 def check_fold_leak(split: DataFrame, positives: DataFrame) -> DataFrame:
-    """Per fold: validation negatives, and how many distinct ones are known positives."""
-    negatives = split.filter("label = 0").select("fold", *PAIR)
-    known = positives.select(*PAIR, F.lit(1).alias("_known")).distinct()
-    checked = negatives.distinct().join(known, list(PAIR), "left")
+    """Per fold: distinct validation negatives, and how many of them are known positives.
+
+    One shuffle on the pair for both tables; a pair gathers at most its folds.
+    """
+    negatives = split.filter("label = 0").select(*PAIR, "fold", F.lit(0).alias("_known"))
+    known = positives.select(*PAIR, F.lit(None).cast("int").alias("fold"), F.lit(1).alias("_known"))
+    merged = negatives.unionByName(known).groupBy(*PAIR).agg(
+        F.collect_set("fold").alias("_folds"), F.max("_known").alias("_known")
+    )
+    checked = merged.select(F.explode("_folds").alias("fold"), "_known")
     return checked.groupBy("fold").agg(
         F.count(F.lit(1)).alias("val_neg"),
-        F.count("_known").alias("leaked"),
+        F.sum("_known").cast("bigint").alias("leaked"),
     )
 
 

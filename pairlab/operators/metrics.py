@@ -47,7 +47,9 @@ def _score_range(counts: DataFrame, cuts: Sequence[float]) -> DataFrame:
     if not cuts:
         return counts.withColumn("_range", F.lit(0.0))
     splits = [-float("inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol="score", outputCol="_range", handleInvalid="keep").transform(counts)
+    ranged = Bucketizer(splits=splits, inputCol="score", outputCol="_range", handleInvalid="keep").transform(counts)
+    # never null, so that no filter on it moves below the shared exchange
+    return ranged.withColumn("_range", F.coalesce("_range", F.lit(-1.0)))
 
 
 def score_steps(

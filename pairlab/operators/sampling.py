@@ -62,7 +62,8 @@ def random_pairs(entities: DataFrame, n: int, seed, sizes: tuple[int, int] | Non
 
 def exclude_pairs(candidates: DataFrame, positives: DataFrame) -> DataFrame:
     """Candidates that are not known positives."""
-    return candidates.join(positives.select(*PAIR), list(PAIR), "left_anti")
+    # repeats are combined before the shuffle, so no pair of the right side is hot
+    return candidates.join(positives.select(*PAIR).distinct(), list(PAIR), "left_anti")
 
 
 def accepted_draws(draws: DataFrame, positives: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Below this Catalyst size estimate a plan is cheaper to repeat than to store,
 # and single-level windows are used instead of bucketed ones.
-SMALL_PLAN_BYTES = 256 * 1024 * 1024
+SMALL_PLAN_BYTES = 32 * 1024 * 1024
 
 _LOCAL_ROOTS: dict[str, str] = {}
 

@@ -36,10 +36,15 @@ def split_key(params: dict, pairs: DataFrame) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:24]
 
 
+def _balanced(df: DataFrame) -> DataFrame:
+    """Narrow rows gathered by fold into files of even size; a large fold is split again."""
+    return df.hint("rebalance", "fold")
+
+
 def write_splits(split: DataFrame, root: str, key: str) -> str:
     """Store a split under its key, one folder per fold."""
     path = f"{root.rstrip('/')}/{key}"
-    split.write.mode("overwrite").partitionBy("fold").parquet(path)
+    _balanced(split).write.mode("overwrite").partitionBy("fold").parquet(path)
     return path
 
 
@@ -87,7 +92,7 @@ def prediction_rows(df: DataFrame, form: str = "simple", label: str = "label", s
 
 def write_predictions(df: DataFrame, path: str, form: str = "simple", fmt: str = "csv") -> None:
     """One folder per fold of scored pairs."""
-    _write(prediction_rows(df, form), path, fmt, ["fold"])
+    _write(_balanced(prediction_rows(df, form)), path, fmt, ["fold"])
 
 
 def fused_rows(df: DataFrame, side: str, dim: int, col: str | None = None) -> DataFrame:
