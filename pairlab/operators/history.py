@@ -18,6 +18,8 @@ def _stop_state(log: Column, patience: int, delta: float, mode: str) -> Column:
         F.lit(None).cast("double").alias("best"),
         F.lit(0).alias("waited"),
         F.lit(None).cast("int").alias("stop"),
+        F.lit(0.0).alias("top"),
+        F.lit(None).cast("int").alias("top_epoch"),
     )
 
     def step(state: Column, row: Column) -> Column:
@@ -26,17 +28,28 @@ def _stop_state(log: Column, patience: int, delta: float, mode: str) -> Column:
         better = value > bar if mode == "max" else value < bar
         improved = state["best"].isNull() | F.coalesce(better, F.lit(False))
         waited = F.when(improved, F.lit(0)).otherwise(state["waited"] + 1)
-        nxt = F.struct(
+        higher = F.coalesce(value > state["top"], F.lit(False))
+        following = F.struct(
             F.when(improved, value).otherwise(state["best"]).alias("best"),
             waited.alias("waited"),
             # the very first score only sets the mark
             F.when(state["best"].isNotNull() & (waited >= patience), row["epoch"]).alias("stop"),
+            F.when(higher, value).otherwise(state["top"]).alias("top"),
+            F.when(higher, row["epoch"]).otherwise(state["top_epoch"]).alias("top_epoch"),
         )
-        return F.when(state["stop"].isNotNull(), state).otherwise(nxt)
+        return F.when(state["stop"].isNotNull(), state).otherwise(following)
 
     return F.aggregate(log, start, step)
 
 
+def _states(history: DataFrame, patience, delta, mode, max_epochs, keys, score) -> DataFrame:
+    """One row per run with the final state; a run's log is at most ``max_epochs`` long."""
+    entry = F.struct(F.col("epoch").cast("int").alias("epoch"), F.col(score).cast("double").alias("score"))
+    rows = history.filter(F.col("epoch").between(1, max_epochs)).select(*keys, entry.alias("_r"))
+    logs = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_r")).alias("_log"))
+    return logs.select(*keys, _stop_state(F.col("_log"), patience, delta, mode).alias("_s"))
+
+
 def early_stop(
     history: DataFrame,
     patience: int = 5,
@@ -48,16 +61,12 @@ def early_stop(
 ) -> DataFrame:
     """(run, stop_epoch, best_score): first epoch with ``patience`` non-improvements in a row.
 
-    A score improves only if it beats the best by more than ``delta``.  A run is
-    at most ``max_epochs`` long, so one run's log is a short array.  ``stop_epoch``
-    is null when the run is never stopped.
+    A score improves only if it beats the best by more than ``delta``.  Training
+    never goes past ``max_epochs``.  ``stop_epoch`` is null for a run that is
+    never stopped.
     """
     keys = _names(by)
-    rows = history.filter(F.col("epoch") <= max_epochs).select(
-        *keys, F.struct(F.col("epoch").cast("int").alias("epoch"), F.col(score).cast("double").alias("score")).alias("_r")
-    )
-    logs = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_r")).alias("_log"))
-    state = logs.select(*keys, _stop_state(F.col("_log"), patience, delta, mode).alias("_s"))
+    state = _states(history, patience, delta, mode, max_epochs, keys, score)
     return state.select(*keys, F.col("_s.stop").alias("stop_epoch"), F.col("_s.best").alias("best_score"))
 
 
@@ -71,8 +80,6 @@ def best_epoch(
 ) -> DataFrame:
     """(run, epoch, score): first epoch of the highest score above 0 up to the stop epoch."""
     keys = _names(by)
-    stops = early_stop(history, patience, delta, "max", max_epochs, keys, score).select(*keys, "stop_epoch")
-    seen = history.filter((F.col("epoch") <= max_epochs) & (F.col(score) > 0)).join(stops, keys)
-    ran = seen.filter(F.col("stop_epoch").isNull() | (F.col("epoch") <= F.col("stop_epoch")))
-    best = ran.groupBy(*keys).agg(F.max(F.struct(F.col(score), -F.col("epoch").cast("int"))).alias("_b"))
-    return best.select(*keys, (-F.col("_b.col2")).alias("epoch"), F.col(f"_b.{score}").alias(score))
+    state = _states(history, patience, delta, "max", max_epochs, keys, score)
+    best = state.select(*keys, F.col("_s.top_epoch").alias("epoch"), F.col("_s.top").alias(score))
+    return best.filter(F.col("epoch").isNotNull())
