@@ -566,6 +566,16 @@ SQL = {
     "score_linear": f"""
         select {KEYS}, {r6('1 / (1 + exp(-(0.04 * l_quantity + -0.00002 * l_extendedprice + 3.0 * l_discount - 0.6)))', 'score')}
         from lineitem""",
+    "project_modality": f"""
+        with n as (
+            select cast(s_suppkey as varchar) as id, cast(cast(s_acctbal as float) as double) as a,
+                   cast(s_nationkey as double) as b
+            from supplier
+        )
+        select id, {r6('(a - avg(a) over ()) / stddev_samp(a) over ()', 'd0')},
+               {r6('(b - avg(b) over ()) / stddev_samp(b) over ()', 'd1')},
+               cast(0 as double) as d2, cast(0 as double) as d3
+        from n""",
     "predictions_simple": f"""with {SCORED}
         select label as true_label, {r6('score', 'predicted_score')}, fold from scored""",
     **{

@@ -625,6 +625,14 @@ def score_linear(spark, sf):
     return lines.select(*_key_columns(), udf.alias("score")).select(*_key_columns(), r6("score"))
 
 
+def project_modality(spark, sf):
+    """Supplier numbers standardised and filled up to four."""
+    numbers = fx.right_numbers(spark, sf)
+    out = modelling.project_modality(numbers, "features", 4)(numbers)
+    wide = out.select("id", *vectors.explode_vector("features", "d", 4))
+    return wide.select("id", *[r6(f"d{i}") for i in range(4)])
+
+
 def predictions_simple(spark, sf):
     return outputs.prediction_rows(fx.scored(spark, sf), "simple").select("true_label", r6("predicted_score"), "fold")
 
@@ -729,7 +737,7 @@ QUERIES = {
         confusion_matrix, accuracy, precision_recall_f1, auc_roc, auc_roc_ties, average_precision,
         average_precision_ties, evaluate, evaluate_ranged, evaluate_ties, cv_summary, metrics_comparison,
         stored_results, roc_points, pr_points, roc_grid, pr_grid, roc_grid_ties, pr_grid_ties, mean_roc_curve,
-        mean_pr_curve, curve_area, curve_summary, early_stop, early_stop_min, best_epoch, score_linear,
+        mean_pr_curve, curve_area, curve_summary, early_stop, early_stop_min, best_epoch, score_linear, project_modality,
         predictions_simple, predictions_detail, all_folds_predictions, fused_features_concat, raw_features_export,
         cross_validate, cross_validate_predictions, ablation, projection_2d, fused_features,
     )

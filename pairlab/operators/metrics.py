@@ -10,7 +10,7 @@ are exact for every choice.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -190,19 +190,33 @@ def class_weights(df: DataFrame, by=None, label: str = "label") -> DataFrame:
     )
 
 
+def _weight_pair(weights, keys: Sequence[str]) -> tuple[Column, Column]:
+    """(class 0, class 1) weights: a fixed pair, or one pair per group value."""
+    if not isinstance(weights, Mapping):
+        return class_weight(F.lit(0), weights), class_weight(F.lit(1), weights)
+    (key,) = keys
+
+    def pick(side: int) -> Column:
+        entries = [F.lit(v) for group, pair in weights.items() for v in (group, float(pair[side]))]
+        return F.create_map(*entries)[F.col(key)]
+
+    return pick(0), pick(1)
+
+
 def evaluate(
     df: DataFrame,
     by="fold",
     label: str = "label",
     score: str = "score",
     loss: str = "ce",
-    weights: Sequence[float] | None = None,
+    weights: Sequence[float] | Mapping | None = None,
     cuts: Sequence[float] | None = None,
     **loss_params,
 ) -> DataFrame:
     """One row per group: six metrics, the confusion matrix and the mean loss.
 
-    One aggregate per (group, score), one window, one final aggregate.
+    ``weights`` are the [class 0, class 1] weights of the weighted_ce loss, or a
+    mapping from the (single) group's values to such pairs.  One aggregate per (group, score), one window, one final aggregate.
     """
     keys = _names(by)
     steps = score_steps(df, keys, label, score, cuts)
@@ -212,8 +226,7 @@ def evaluate(
     def total(name: str, keep: Column) -> Column:
         return F.sum(F.when(keep, F.col(name)).otherwise(F.lit(0).cast("bigint")))
 
-    used = weights if loss == "weighted_ce" else None
-    w1, w0 = class_weight(one, used), class_weight(zero, used)
+    w0, w1 = _weight_pair(weights if loss == "weighted_ce" else None, keys)
     lost = w1 * _double("p") * row_loss(loss, one, "score", **loss_params) + w0 * _double("n") * row_loss(
         loss, zero, "score", **loss_params
     )

@@ -14,7 +14,7 @@ from pyspark.util import inheritable_thread_target
 from pairlab.config import MODALITIES, ExperimentConfig
 from pairlab.functions.vectors import concat_vectors
 from pairlab.operators.features import join_sides, side_table
-from pairlab.operators.folds import assign_folds, label_union, train_part, val_part
+from pairlab.operators.folds import assign_folds, fold_summary, label_union, train_part, val_part
 from pairlab.operators.metrics import cv_summary, evaluate
 from pairlab.operators.sampling import negative_pairs
 from pairlab.plans.modelling import concat_side, fit_fold, fuse_side, principal_plane, score
@@ -70,10 +70,24 @@ def with_structure(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {("struct" if k == "graph" else k): (merged if k == "graph" else t) for k, t in tables.items() if k != "ecfp"}
 
 
+def _modality_widths(entities: DataFrame, key: str) -> dict[str, int]:
+    cols = [c for c in entities.columns if c != key]
+    return entities.agg(*[F.max(F.size(c)).alias(c) for c in cols]).first().asDict()
+
+
 def side_entities(tables: Tables, side: str, cfg: ExperimentConfig) -> DataFrame:
-    """One row per entity with all its enabled modalities, stored once for all folds."""
+    """One row per entity with all its enabled modalities, stored once for all folds.
+
+    Under the 'zeros' policy an absent modality is filled with zeros; otherwise
+    only complete entities are kept, and their pairs decide what a gap means.
+    """
+    key = f"{side}_id"
     enabled = with_structure(enabled_side(tables, side, cfg))
-    return materialise(side_table(enabled, f"{side}_id", side), f"{side}-entities", always=True)
+    entities = materialise(side_table(enabled, key, side), f"{side}-entities", always=True)
+    if cfg.missing != "zeros":
+        return entities.dropna()
+    fill = {c: F.array_repeat(F.lit(0.0).cast("float"), w) for c, w in _modality_widths(entities, key).items()}
+    return entities.select(key, *[F.coalesce(F.col(c).cast("array<float>"), zeros).alias(c) for c, zeros in fill.items()])
 
 
 def side_vectors(entities: DataFrame, side: str, train: DataFrame, cfg: ExperimentConfig, weights=None) -> DataFrame:
@@ -89,7 +103,12 @@ def fold_features(split: DataFrame, left: DataFrame, right: DataFrame, fold: int
     train = train_part(split, fold)
     left_vectors = side_vectors(left, "left", train, cfg)
     right_vectors = side_vectors(right, "right", train, cfg)
-    return join_sides(split, left_vectors, right_vectors, cfg.missing)
+    dims = {}
+    if cfg.missing == "zeros":
+        for side, entities in (("left", left), ("right", right)):
+            wide = cfg.fusion == "concat"
+            dims[f"{side}_fused"] = sum(_modality_widths(entities, f"{side}_id").values()) if wide else cfg.common_dim
+    return join_sides(split, left_vectors, right_vectors, cfg.missing, dims)
 
 
 def _on_folds(spark, run, cfg: ExperimentConfig) -> list:
@@ -107,15 +126,23 @@ def fused_features(split: DataFrame, tables: Tables, cfg: ExperimentConfig) -> D
     return reduce(DataFrame.unionByName, _on_folds(split.sparkSession, run, cfg))
 
 
-def _run_fold(split: DataFrame, left: DataFrame, right: DataFrame, fold: int, cfg: ExperimentConfig) -> DataFrame:
+def training_class_weights(split: DataFrame) -> dict[int, tuple[float, float]]:
+    """Per fold the [class 0, class 1] weights of its training part, from one row per fold."""
+    weights = {}
+    for row in fold_summary(split).collect():
+        pos, neg = row["train_pos"], row["train_neg"]
+        weights[row["fold"]] = (2 * pos / (pos + neg), 2 * neg / (pos + neg)) if pos and neg else (1.0, 1.0)
+    return weights
+
+
+def _run_fold(split: DataFrame, left: DataFrame, right: DataFrame, fold: int, cfg: ExperimentConfig, weights) -> DataFrame:
     rows = fold_features(split, left, right, fold, cfg)
     rows = rows.select("left_id", "right_id", "label", "fold", concat_vectors("left_fused", "right_fused").alias("features"))
     model = fit_fold(
         train_part(rows, fold),
         kind=cfg.classifier,
         params=cfg.classifier_params,
-        weighting=cfg.loss == "weighted_ce",
-        weights=cfg.class_weights if cfg.loss == "weighted_ce" else None,
+        weights=weights,
     )
     return score(model, val_part(rows, fold))
 
@@ -128,13 +155,21 @@ def cross_validate(split: DataFrame, tables: Tables, cfg: ExperimentConfig) -> C
     """
     split = materialise(split, "split", always=True)
     left, right = side_entities(tables, "left", cfg), side_entities(tables, "right", cfg)
-    parts = _on_folds(split.sparkSession, lambda fold: _run_fold(split, left, right, fold, cfg), cfg)
+    weights = None
+    if cfg.loss == "weighted_ce":
+        fixed = cfg.class_weights
+        weights = {f: fixed for f in range(cfg.n_folds)} if fixed else training_class_weights(split)
+
+    def run(fold: int) -> DataFrame:
+        return _run_fold(split, left, right, fold, cfg, weights and weights[fold])
+
+    parts = _on_folds(split.sparkSession, run, cfg)
     predictions = materialise(reduce(DataFrame.unionByName, parts), "predictions", always=True)
     params = {
         "focal": {"alpha": cfg.focal_alpha, "gamma": cfg.focal_gamma},
         "label_smoothing": {"eps": cfg.label_smoothing},
     }.get(cfg.loss, {})
-    metrics = evaluate(predictions, "fold", loss=cfg.loss, weights=cfg.class_weights, **params)
+    metrics = evaluate(predictions, "fold", loss=cfg.loss, weights=weights, **params)
     return CrossValidation(predictions, metrics, cv_summary(metrics))
 
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pairlab.config import ExperimentConfig
@@ -127,3 +128,33 @@ def test_splits_of_a_whole_run(spark, pairs_of):
     assert len({(r.left_id, r.right_id) for r in rows}) == 120
     repeated = experiment.prepare_splits(pairs.union(pairs.limit(5)), ExperimentConfig(dedupe=False))
     assert repeated.filter("label = 1").count() == 65
+
+
+def test_gaps_in_features(spark):
+    split, tables = world(spark, 20, 8)
+    tables = {k: t for k, t in tables.items() if k[1] == "seq"}
+    tables["left", "struct"] = tables["left", "seq"].filter("id <> 'l3'")
+    known = split.filter("left_id <> 'l3'").count()
+    for fusion in ("concat", "pooled"):
+        counts = {}
+        for missing in ("zeros", "drop"):
+            cfg = ExperimentConfig(n_folds=3, fusion=fusion, common_dim=4, missing=missing, parallel_folds=3)
+            counts[missing] = experiment.cross_validate(split, tables, cfg).predictions.count()
+        assert counts == {"zeros": split.count(), "drop": known}
+    with pytest.raises(PySparkException, match="no left_fused vector for l3"):
+        experiment.cross_validate(split, tables, ExperimentConfig(n_folds=3, fusion="concat"))
+
+
+def test_training_class_weights(spark):
+    split, _ = world(spark, 20, 8)
+    weights = experiment.training_class_weights(split)
+    for fold, (w0, w1) in weights.items():
+        row = metrics.class_weights(folds.train_part(split, fold)).first()
+        assert (w0, w1) == pytest.approx((row.weight_neg, row.weight_pos))
+    scored = split.withColumn("score", F.lit(0.3))
+    got = {r.fold: r.loss for r in metrics.evaluate(scored, "fold", loss="weighted_ce", weights=weights).collect()}
+    for fold, (w0, w1) in weights.items():
+        val = folds.val_part(scored, fold)
+        n0, n1 = val.filter("label = 0").count(), val.filter("label = 1").count()
+        want = -(w1 * n1 * np.log(0.3) + w0 * n0 * np.log(0.7)) / (w1 * n1 + w0 * n0)
+        assert got[fold] == pytest.approx(want)
