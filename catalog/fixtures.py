@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from pairlab.operators.features import onehot_associations, vocabulary
-from pairlab.session import scratch_root
+from pairlab.session import run_folder
 from pairlab.sources.tables import as_features, as_pairs
 
 ONEHOT_DIM = 25
@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/pairlab/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:

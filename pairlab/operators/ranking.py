@@ -75,6 +75,8 @@ def rank_rows(
 def take_first(df: DataFrame, order: str, n: int, width: int = 1, tie: Sequence[str] = ()) -> DataFrame:
     """The ``n`` rows lowest by a non-negative integer column; ``width`` values share a bucket.
 
+    The column is a row's number (an attempt, a key): few rows may share a value,
+    and ``tie`` names the columns that order those.
     Whole buckets below the cut pass through unsorted; only the one bucket that
     holds the cut is ordered.
     """

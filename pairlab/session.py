@@ -67,6 +67,17 @@ def materialise(df: DataFrame, name: str, always: bool = False) -> DataFrame:
     if not always and is_small(df):
         return df
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/pairlab/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{scratch_root(spark)}/pairlab/{spark.sparkContext.applicationId}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete what this application stored; call it once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
