@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from catalog.oracles import SQL
+from catalog.queries import QUERIES
 from check import TABLES, _rows
 
 SF = contract.SMOKE_DIR
-SQL = contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -35,5 +36,6 @@ def test_entry(spark):
 
 
 def test_queries_without_sql_are_fitted_models():
-    assert set(contract.queries()) - set(SQL) == {"cross_validate", "ablation", "projection_2d", "fused_features"}
+    assert set(QUERIES) - set(SQL) == {"cross_validate", "ablation", "projection_2d", "fused_features"}
     assert set(SQL) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql())
