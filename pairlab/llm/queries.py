@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import simhash
+from pairlab.llm import packing, simhash
 from pairlab.llm.common import read_table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf, "documents"))
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
 }
 
