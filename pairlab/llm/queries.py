@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import packing, simhash
+from pairlab.llm import mixing, packing, simhash
 from pairlab.llm.common import read_table
 
 
@@ -16,9 +16,14 @@ def op7_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf, "documents"))
 
 
+def op10_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 SQL: dict[str, str] = {}
