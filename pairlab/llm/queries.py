@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import mixing, packing, simhash
-from pairlab.llm.common import read_table
+from pairlab.llm import mixing, packing, simhash, toxicity
+from pairlab.llm.common import read_table, remainder
 
 
 def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,9 +20,17 @@ def op10_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    model = toxicity.fit(docs, labels.where(remainder("doc_id", 4) != 2))
+    rows = toxicity.predict(docs, model)
+    return rows.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op4_toxicity": op4_toxicity,
     "op10_source_mixing": op10_source_mixing,
 }
 
