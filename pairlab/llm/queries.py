@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import mixing, packing, simhash, toxicity
+from pairlab.llm import language, mixing, packing, simhash, toxicity
 from pairlab.llm.common import read_table, remainder
 
 
@@ -27,9 +27,16 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    rows = language.identify(docs, language.profiles(docs.where(remainder("doc_id", 3) != 1)))
+    return rows.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
     "op10_source_mixing": op10_source_mixing,
 }
