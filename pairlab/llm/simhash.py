@@ -30,8 +30,7 @@ from pyspark.sql import types as T
 from pairlab.llm.common import components, edge_roots, store
 
 SAMPLE = 16_384  # fingerprints that fit the upper tree
-SHARD = 4_096  # wanted points of a shard; also points of a block
-QUERIES = 8_192  # queries of a block
+SHARD = 4_096, 65_536  # least and most points of a shard; a table is cut into 16 shards between the two
 LEAF = 256  # points of a leaf inside a block
 SEED = 42
 
@@ -207,12 +206,13 @@ def _route(tree: VpTree, max_bits: int):
     return run
 
 
-def link_fingerprints(points: DataFrame, max_bits: int = 4, shard: int = SHARD) -> DataFrame:
+def link_fingerprints(points: DataFrame, max_bits: int = 4, shard: int | None = None) -> DataFrame:
     """Links (a, b) that connect every two distinct ``fp`` (long) of ``points`` at ``max_bits`` or fewer bits.
 
     The links span each cluster; they are not all its pairs.
     """
     n = points.count()
+    shard = shard or min(max(n // 16, SHARD[0]), SHARD[1])
     fraction = min(1.0, 1.2 * SAMPLE / max(n, 1))
     sample = [r.fp for r in points.sample(fraction, seed=SEED).limit(SAMPLE).collect()]
     tree = VpTree(np.array(sample, np.int64).view(np.uint64), max(8, len(sample) * shard // max(n, 1)))
@@ -225,7 +225,7 @@ def link_fingerprints(points: DataFrame, max_bits: int = 4, shard: int = SHARD)
     sizes = sizes.where("points > 0").select(
         "shard",
         F.ceil(F.col("points") / shard).alias("point_blocks"),
-        F.ceil((F.col("queries") + F.when(F.col("points") > shard, F.col("points")).otherwise(1)) / QUERIES).alias("query_blocks"),
+        F.ceil((F.col("queries") + F.when(F.col("points") > shard, F.col("points")).otherwise(1)) / (2 * shard)).alias("query_blocks"),
     )
     all_of = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - F.lit(1).cast("long"))
     salt = F.xxhash64("fp")
