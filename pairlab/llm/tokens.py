@@ -9,8 +9,10 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED = 300_000  # chunks that a worker remembers
-TOGETHER = 1 << 20  # bytes of text looked up at once
+MARKS = b".,;:!?|"
+PLAIN = "\u0130"  # letters below it are composed already and have plain lower case
+CACHED = 800_000  # chunks that a worker remembers
+TOGETHER = 1 << 22  # bytes of text looked up at once
 
 
 class ChunkEncoder:
@@ -25,14 +27,41 @@ class ChunkEncoder:
         self._tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self._tokenizer.encode_special_tokens = True
         self._known: dict[bytes, bytes] = {}
+        # what the vocabulary's byte step makes of a byte: itself if it is printable, else the next free character
+        free = iter(range(256, 512))
+        self._letters = {b: b if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b else next(free) for b in range(256)}
+        self._bytes_of = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
 
     def _learn(self, chunks: set[bytes]) -> None:
-        missing = [c for c in chunks if c not in self._known]
-        if len(self._known) + len(missing) > CACHED:
-            self._known.clear()
+        known = self._known
+        missing = [c for c in chunks if c not in known]
+        if len(known) + 2 * len(missing) > CACHED:
+            known.clear()
             missing = list(chunks)
-        texts = [c.decode("utf-8", "replace") for c in missing]
-        for chunk, found in zip(missing, self._tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        plain, closed, other = {}, [], []
+        for chunk in missing:
+            word = chunk.rstrip(MARKS)
+            base = word.decode("utf-8", "replace")
+            if base.isalpha() and (base.isascii() or max(base) < PLAIN):
+                # letters and closing marks are split apart before any merge
+                base = base.lower()
+                plain[base] = None
+                closed.append((chunk, base, chunk[len(word) :]))
+                if len(chunk) > len(word):
+                    other.append(chunk[len(word) :])
+            else:
+                other.append(chunk)
+        merge, bytes_of, letters = self._tokenizer.model.tokenize, self._bytes_of, self._letters
+        for base in plain:
+            word = base if base.isascii() else base.encode().decode("latin-1").translate(letters)
+            plain[base] = b"".join([bytes_of[t.id] for t in merge(word)])
+        self._learn_each([c for c in set(other) if c not in known])
+        for chunk, base, marks in closed:
+            known[chunk] = plain[base] + known[marks] if marks else plain[base]
+
+    def _learn_each(self, chunks: list[bytes]) -> None:
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        for chunk, found in zip(chunks, self._tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
             self._known[chunk] = b"".join(i.to_bytes(4, "little") for i in found.ids)
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
