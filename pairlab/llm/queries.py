@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import language, mixing, packing, simhash, toxicity
+from pairlab.llm import embedding_dedup, language, mixing, packing, simhash, toxicity
 from pairlab.llm.common import read_table, remainder
 
 
@@ -33,9 +33,14 @@ def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
     "op10_source_mixing": op10_source_mixing,
