@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import embedding_dedup, language, mixing, packing, simhash, toxicity
+from pairlab.llm import embedding_dedup, language, mixing, neighbours, packing, simhash, toxicity
 from pairlab.llm.common import read_table, remainder
 
 
@@ -37,9 +37,15 @@ def op3_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read_table(spark, sf, "embeddings"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = read_table(spark, sf, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
