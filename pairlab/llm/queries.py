@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import embedding_dedup, language, mixing, neighbours, packing, simhash, toxicity
+from pairlab.llm import embedding_dedup, language, mixing, neighbours, packing, passages, simhash, toxicity
 from pairlab.llm.common import read_table, remainder
 
 
@@ -42,6 +42,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.near_passages(read_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 
