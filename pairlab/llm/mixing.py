@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import store, word_count
+from pairlab.llm.common import WORD, store, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -118,13 +118,6 @@ def block_uses(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks:
     return slots.select("source_no", block.alias("block")).groupBy("source_no", "block").agg(F.count(F.lit(1)).cast("int").alias("uses"))
 
 
-def numbered(docs: DataFrame, source_col: str = "source", text_col: str = "text", weights=WEIGHTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(documents with _size, _source and their source's columns, the per-source table), both stored."""
-    rows = docs.withColumn("_size", word_count(F.col(text_col)))
-    sizes = rows.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size"))
-    return rows, store(source_targets(sizes, weights, most), "targets")
-
-
 def mix(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS,
     most: int = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED,
@@ -158,3 +151,37 @@ def block_parts(put: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     rows = put.select("source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
     return rows.select("source_no", "start", "block", (end - F.greatest("start", F.col("block") * block_words)).alias("words"))
+
+
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS,
+    most: int = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED,
+) -> DataFrame:
+    """The mix as documents: the columns of ``docs``, a row for every pass over a document's taken blocks.
+
+    The first pass holds the words of all its blocks that are taken at least
+    once, the next those taken twice, and so on; a document of which nothing
+    is taken goes.  Blanks between taken words stay.  Rows equal in id, source
+    and text count once.
+    """
+    key = [F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("_hash")]
+    rows = store(docs.select(*key, word_count(F.col(text_col)).alias("size")).distinct(), "sizes")
+    targets = store(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
+    known = rows.join(targets.select("source", "source_no"), rows.source.eqNullSafe(targets.source)).select("_id", "_hash", "size", "source_no")
+    put = placed(known.withColumn("key", F.struct("_id", "_hash")).where("size > 0"), max(64, rows.count() >> 14))
+    put = store(put, "placed")
+    uses = block_uses(targets, block_words, most=most, seed=seed)
+    parts = block_parts(put, block_words).join(uses, ["source_no", "block"])
+    parts = parts.withColumn("at", F.greatest("start", F.col("block") * block_words) - F.col("start"))
+    taken = parts.groupBy("source_no", "start").agg(F.sort_array(F.collect_list(F.struct("at", "words", "uses"))).alias("_parts"))
+    taken = put.join(taken, ["source_no", "start"]).select(F.col("_id").alias("_kid"), F.col("_hash").alias("_khash"), F.col("source_no").alias("_no"), "_parts")
+    names = targets.select(F.col("source").alias("_source"), F.col("source_no").alias("_sno"))
+    own = docs.join(F.broadcast(names), docs[source_col].eqNullSafe(F.col("_source")))
+    own = own.join(taken, (own[id_col].eqNullSafe(F.col("_kid"))) & (F.xxhash64(own[text_col]) == F.col("_khash")) & (F.col("_sno") == F.col("_no")))
+    once = Window.partitionBy("_kid", "_khash", "_no").orderBy(F.lit(0))
+    own = own.withColumn("_row", F.row_number().over(once)).where("_row = 1")
+    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    passes = own.withColumn("_words", words).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_parts", lambda p: p["uses"])))))
+    some = F.filter("_parts", lambda p: p["uses"] >= F.col("_pass"))
+    text = F.array_join(F.flatten(F.transform(some, lambda p: F.slice("_words", p["at"].cast("int") + 1, p["words"].cast("int")))), "")
+    return passes.select(*[F.rtrim(text).alias(c) if c == text_col else F.col(c) for c in docs.columns])

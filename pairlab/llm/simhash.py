@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -271,3 +271,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = points.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left")
     classes = classes.select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4) -> DataFrame:
+    """``docs`` with one document of each near-duplicate class: the one of least id, once.
+
+    Columns stay as they are.  Rows without an id all stay.
+    """
+    classes = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, max_bits)
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    once = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
+    named = docs.join(kept, docs[id_col] == F.col("_kept")).withColumn("_row", F.row_number().over(once)).where("_row = 1")
+    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
