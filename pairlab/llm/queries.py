@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import embedding_dedup, language, mixing, neighbours, packing, passages, simhash, toxicity
+from pairlab.llm import embedding_dedup, language, lm, mixing, neighbours, packing, passages, simhash, toxicity
 from pairlab.llm.common import read_table, remainder
 
 
@@ -46,6 +46,11 @@ def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return passages.near_passages(read_table(spark, sf, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 = 2"
+    return lm.score_texts(read_table(spark, sf, "documents"), held_out)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
@@ -53,6 +58,7 @@ QUERIES = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
+    "op8_lm_scores": op8_lm_scores,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
