@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairlab.llm import embedding_dedup, language, lm, mixing, neighbours, packing, passages, simhash, toxicity
+from pairlab.llm import embedding_dedup, language, licenses, lm, mixing, neighbours, packing, passages, simhash, toxicity
 from pairlab.llm.common import read_table, remainder
 
 
@@ -51,6 +52,15 @@ def op8_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score_texts(read_table(spark, sf, "documents"), held_out)
 
 
+def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files of a tree: source, then two levels by id; every tenth id of a directory is its license file."""
+    docs = read_table(spark, sf, "documents")
+    number = F.coalesce("doc_id", F.lit(0))
+    name = F.when(number % 10 == 0, F.lit("LICENSE")).otherwise(F.lit("text"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(number / 1000), F.floor(number / 50), F.concat(name, F.lit("."), number))
+    return licenses.scan(docs.withColumn("path", path), "doc_id", "path", "text").withColumnRenamed("file", "doc_id")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
@@ -58,6 +68,7 @@ QUERIES = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
+    "op6_license_scan": op6_license_scan,
     "op8_lm_scores": op8_lm_scores,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
