@@ -52,14 +52,13 @@ def gram_counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         new = np.ones(len(marks), bool)
         new[: min(at, 2)] = False
         edge = np.uint64(EDGE)
-        keep = np.ones(len(marks), bool)
-        keep[1:] = (marks[1:] != edge) | (marks[:-1] != edge)
         if at == 0:
-            marks, new = np.concatenate([[edge], marks[keep]]), np.concatenate([[True], new[keep]])
-        else:
-            marks, new = marks[keep], new[keep]
+            marks, new = np.concatenate([[edge], marks]), np.concatenate([[True], new])
         if at + STEP >= len(cps):
             marks, new = np.append(marks, edge), np.append(new, True)
+        keep = np.ones(len(marks), bool)
+        keep[1:] = (marks[1:] != edge) | (marks[:-1] != edge)
+        marks, new = marks[keep], new[keep]
         one = marks[new & (marks != edge)]
         two = (marks[:-1] << np.uint64(21) | marks[1:])[new[1:]]
         three = (marks[:-2] << np.uint64(42) | marks[1:-1] << np.uint64(21) | marks[2:])[new[2:]]
