@@ -57,6 +57,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     return table.select("source", "source_no", "source_size", target.alias("target"))
 
 
+def spread(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def permuted(index: Column, size: Column, key: Column, rounds: int = ROUNDS) -> Column:
     """The place of ``index`` in a pseudorandom permutation of 0 .. size - 1 chosen by ``key``."""
 
@@ -111,6 +115,8 @@ def block_uses(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks:
     taken = taken.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
     # no block is taken more than ``most`` times, so no document is
     taken = taken.withColumn("end", F.least(F.col("begin") + F.col("n"), F.col("blocks") * most)).where("end > begin")
+    # a row holds up to a shard's slots, so the rows are dealt before they are spread out
+    taken = taken.repartition(spread(taken), "source_no", "shard")
     slots = taken.select("source_no", "blocks", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("blocks"))
     key = F.xxhash64(F.lit(seed), F.col("source_no"), F.lit("blocks"))
@@ -138,7 +144,7 @@ def mix(
     put = store(placed(known.withColumn("key", F.struct("doc_id")), max(64, n >> 14)).drop("key"), "placed")
     parts = block_parts(put.where("size > 0"), block_words)
     uses = block_uses(targets, block_words, most=most, seed=seed)
-    got = parts.join(uses, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    got = parts.hint("merge").join(uses, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     # rows with words have a place of their own in their source
     filled = put.where("size > 0").join(got, ["source_no", "start"], "left")
     none = put.where("size = 0").withColumn("taken", F.lit(None).cast("long"))
@@ -171,7 +177,7 @@ def mixed_documents(
     put = placed(known.withColumn("key", F.struct("_id", "_hash")).where("size > 0"), max(64, rows.count() >> 14))
     put = store(put, "placed")
     uses = block_uses(targets, block_words, most=most, seed=seed)
-    parts = block_parts(put, block_words).join(uses, ["source_no", "block"])
+    parts = block_parts(put, block_words).hint("merge").join(uses, ["source_no", "block"])
     parts = parts.withColumn("at", F.greatest("start", F.col("block") * block_words) - F.col("start"))
     taken = parts.groupBy("source_no", "start").agg(F.sort_array(F.collect_list(F.struct("at", "words", "uses"))).alias("_parts"))
     taken = put.join(taken, ["source_no", "start"]).select(F.col("_id").alias("_kid"), F.col("_hash").alias("_khash"), F.col("source_no").alias("_no"), "_parts")
