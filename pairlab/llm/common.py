@@ -14,6 +14,17 @@ from pairlab.session import run_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_HELD: dict = {}
+
+
+def worker_cache(name: str, make):
+    """What a worker process remembers under ``name``; it holds one operator's cache at a time."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from pairlab.llm.common import worker_cache
+
 VOCABULARY = "word_bpe_49k.json"
 MARKS = b".,;:!?|"
 PLAIN = "\u0130"  # letters below it are composed already and have plain lower case
-CACHED = 800_000  # chunks that a worker remembers
+CACHED = 500_000  # chunks that a worker remembers
 TOGETHER = 1 << 22  # bytes of text looked up at once
 
 
@@ -80,7 +81,6 @@ class ChunkEncoder:
                 yield b"".join([known[c] for c in chunks])
 
 
-@lru_cache(maxsize=2)
 def encoder(vocabulary: str = VOCABULARY) -> ChunkEncoder:
     """One encoder per worker process."""
-    return ChunkEncoder(vocabulary)
+    return worker_cache(f"encoder {vocabulary}", lambda: ChunkEncoder(vocabulary))
