@@ -247,7 +247,7 @@ def stop_states(patience: int, delta: str, better: str) -> str:
         from (
             select h.run_id, h.epoch, h.auc, s.best, s.waited, {better.format(delta=delta)} as better
             from states s join history h on h.run_id = s.run_id and h.epoch = s.epoch + 1
-            where s.stop is null and h.epoch <= 100
+            where s.stop is null
         )
     ),
     stops as (
@@ -560,7 +560,7 @@ SQL = {
         ran as (
             select h.*, row_number() over (partition by run_id order by auc desc, epoch) as place
             from history h join stops using (run_id)
-            where auc > 0 and epoch <= 100 and (stop_epoch is null or epoch <= stop_epoch)
+            where auc > 0 and (stop_epoch is null or epoch <= stop_epoch)
         )
         select run_id, cast(epoch as integer) as epoch, {r6('auc', 'auc')} from ran where place = 1""",
     "score_linear": f"""

@@ -76,7 +76,7 @@ def lookup(
     if split_hot is None:
         if plan_bytes(table) > _broadcast_limit(table):
             # stored once, its true size is known and no branch repeats its plan
-            table = materialise(table, f"lookup-{key}", always=True)
+            table = materialise(table, f"lookup-{key}")
         split_hot = plan_bytes(table) > _broadcast_limit(table)
     if not split_hot:
         return pairs.join(table, key, how)
@@ -215,8 +215,11 @@ def onehot_associations(assoc: DataFrame, entity: str, target: str, vocab: DataF
 
     Records are made distinct per (entity, entry) with map-side combining before
     they are gathered, so an entity gathers at most ``dim`` numbers however often
-    it occurs.  Targets outside the vocabulary are ignored; the entity stays.
+    it occurs.  Targets outside the vocabulary are ignored; the entity stays.  A
+    vocabulary longer than ``dim`` is an error.
     """
+    message = F.concat(F.lit(f"{dim} places do not hold vocabulary entry "), F.col("idx").cast("string"))
+    vocab = vocab.withColumn("idx", F.when(F.col("idx") >= dim, F.raise_error(message).cast("int")).otherwise(F.col("idx")))
     numbered = assoc.select(F.col(entity).alias("id"), target).distinct().join(vocab, target, "left")
     sets = numbered.groupBy("id").agg(F.collect_set("idx").alias("_on"))
     positions = F.sequence(F.lit(0), F.lit(dim - 1))

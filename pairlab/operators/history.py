@@ -26,9 +26,11 @@ def _stop_state(log: Column, patience: int, delta: float, mode: str) -> Column:
         value = row["score"]
         bar = state["best"] + delta if mode == "max" else state["best"] - delta
         better = value > bar if mode == "max" else value < bar
-        improved = state["best"].isNull() | F.coalesce(better, F.lit(False))
+        # a null or NaN score improves nothing, whatever order Spark gives NaN
+        known = value.isNotNull() & ~F.isnan(value)
+        improved = known & (state["best"].isNull() | F.coalesce(better, F.lit(False)))
         waited = F.when(improved, F.lit(0)).otherwise(state["waited"] + 1)
-        higher = F.coalesce(value > state["top"], F.lit(False))
+        higher = known & F.coalesce(value > state["top"], F.lit(False))
         following = F.struct(
             F.when(improved, value).otherwise(state["best"]).alias("best"),
             waited.alias("waited"),
@@ -43,9 +45,11 @@ def _stop_state(log: Column, patience: int, delta: float, mode: str) -> Column:
 
 
 def _states(history: DataFrame, patience, delta, mode, max_epochs, keys, score) -> DataFrame:
-    """One row per run with the final state; a run's log is at most ``max_epochs`` long."""
+    """One row per run with the final state; epochs after ``max_epochs`` are left out if it is given."""
     entry = F.struct(F.col("epoch").cast("int").alias("epoch"), F.col(score).cast("double").alias("score"))
-    rows = history.filter(F.col("epoch").between(1, max_epochs)).select(*keys, entry.alias("_r"))
+    if max_epochs is not None:
+        history = history.filter(F.col("epoch") <= max_epochs)
+    rows = history.select(*keys, entry.alias("_r"))
     logs = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_r")).alias("_log"))
     return logs.select(*keys, _stop_state(F.col("_log"), patience, delta, mode).alias("_s"))
 
@@ -55,14 +59,14 @@ def early_stop(
     patience: int = 5,
     delta: float = 0.001,
     mode: str = "max",
-    max_epochs: int = 100,
+    max_epochs: int | None = None,
     by=RUN,
     score: str = "auc",
 ) -> DataFrame:
     """(run, stop_epoch, best_score): first epoch with ``patience`` non-improvements in a row.
 
-    A score improves only if it beats the best by more than ``delta``.  Training
-    never goes past ``max_epochs``.  ``stop_epoch`` is null for a run that is
+    A score improves only if it beats the best by more than ``delta``; null and
+    NaN scores do not.  ``stop_epoch`` is null for a run that is
     never stopped.
     """
     keys = _names(by)
@@ -74,7 +78,7 @@ def best_epoch(
     history: DataFrame,
     patience: int = 5,
     delta: float = 0.001,
-    max_epochs: int = 100,
+    max_epochs: int | None = None,
     by=RUN,
     score: str = "auc",
 ) -> DataFrame:

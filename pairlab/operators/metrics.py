@@ -2,9 +2,9 @@
 
 Rows are first collapsed to one row per (group, score) with map-side combining;
 everything else is computed from that table.  Running counts over descending
-scores use one window per (group, score range).  Small inputs have one range;
-large ones are cut at approximate quantiles, so no task receives a whole group
-and any clustering of scores is balanced.  The cuts only steer the work: results
+scores use one window per (group, score range).  There is a range for every
+million distinct scores, cut at approximate quantiles, so no task receives more
+than about that many and any clustering of scores is balanced.  The cuts only steer the work: results
 are exact for every choice.
 """
 
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from pairlab.config import METRICS
 from pairlab.functions.losses import class_weight, row_loss
 from pairlab.functions.scores import predict_label
-from pairlab.session import is_small
+from pairlab.operators.ranking import null_safe_join
+from pairlab.session import materialise
 
-SCORE_RANGES = 512
+RANGE_SCORES = 1_000_000
+MOST_RANGES = 10_000
 
 
 def _names(by) -> list[str]:
@@ -36,8 +38,12 @@ def score_counts(df: DataFrame, by=None, label: str = "label", score: str = "sco
     )
 
 
-def score_cuts(counts: DataFrame, ranges: int = SCORE_RANGES) -> list[float]:
-    """Up to ``ranges - 1`` inner quantiles of the distinct scores: a bounded list."""
+def score_cuts(counts: DataFrame, ranges: int | None = None) -> list[float]:
+    """Up to ``ranges - 1`` inner quantiles of the distinct scores; by default as many ranges as the scores need."""
+    if ranges is None:
+        ranges = min(MOST_RANGES, -(-counts.count() // RANGE_SCORES))
+    if ranges <= 1:
+        return []
     shares = [i / ranges for i in range(1, ranges)]
     cuts = counts.agg(F.percentile_approx("score", shares, 10 * ranges).alias("c")).first()["c"]
     return sorted(set(cuts or []))
@@ -62,21 +68,17 @@ def score_steps(
 ) -> DataFrame:
     """(group, score, p, n, tp, fp): counts at or above each distinct score.
 
-    ``totals`` adds the group's ``pos`` and ``neg``.  ``cuts=None`` decides by the
-    estimated input size; pass a list (maybe empty) to fix the score ranges.
+    ``totals`` adds the group's ``pos`` and ``neg``.  ``cuts=None`` takes as many
+    score ranges as the distinct scores need; pass a list (maybe empty) to fix
+    them.  A null group is a group of its own.
     """
     keys = _names(by)
     counts = score_counts(df, keys, label, score)
     if cuts is None:
-        cuts = [] if is_small(df) else score_cuts(counts)
+        counts = materialise(counts, "score-counts")
+        cuts = score_cuts(counts)
     group = Window.partitionBy(*(keys or [F.lit(0)]))
     upto = (Window.unboundedPreceding, Window.currentRow)
-    if not cuts:
-        down = group.orderBy(F.desc("score")).rowsBetween(*upto)
-        steps = counts.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
-        if totals:
-            steps = steps.withColumn("pos", F.sum("p").over(group)).withColumn("neg", F.sum("n").over(group))
-        return steps
     ranged = _score_range(counts, cuts)
     inside = Window.partitionBy(*keys, "_range").orderBy(F.desc("score")).rowsBetween(*upto)
     local = ranged.withColumn("_tp", F.sum("p").over(inside)).withColumn("_fp", F.sum("n").over(inside))
@@ -90,7 +92,7 @@ def score_steps(
         F.sum("_p").over(group).alias("pos"),
         F.sum("_n").over(group).alias("neg"),
     )
-    joined = local.join(offsets, [*keys, "_range"])
+    joined = null_safe_join(local, offsets, [*keys, "_range"])
     return joined.select(
         *keys,
         "score",

@@ -3,20 +3,19 @@
 A leading integer key (a hash, an attempt number) is cut into at most 65,536
 buckets.  Counting per bucket needs one small aggregate; the running total over
 that bounded table gives every bucket its global offset, so only rows inside a
-bucket have to be ordered among themselves.  Plans that Catalyst estimates below
-``SMALL_PLAN_BYTES`` skip the buckets: one plain window is then cheaper, and the
-ranks are the same.
+bucket have to be ordered among themselves.  The form is the same at every size;
+a caller who knows that a table is small may ask for one plain window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.functions.ids import HASH_BITS, stable_hash
-from pairlab.session import is_small
 
 BUCKET_BITS = 16
 COPY_CHUNK = 100_000
@@ -27,6 +26,13 @@ def hash_bucket(h) -> Column:
     return F.shiftright(F.col(h) if isinstance(h, str) else h, HASH_BITS - BUCKET_BITS)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal ``keys`` in which null equals null; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, reduce(Column.__and__, same)).drop(*[f"_right_{k}" for k in keys])
+
+
 def bucket_offsets(df: DataFrame, bucket: str, by: Sequence[str] = ()) -> DataFrame:
     """Per (group, bucket): its rows, the rows of all earlier buckets, the group's total.
 
@@ -50,23 +56,22 @@ def rank_rows(
     bucket: Column,
     by: Sequence[str] = (),
     rank: str = "rank",
-    bucketed: bool | None = None,
+    bucketed: bool = True,
 ) -> DataFrame:
     """Exact 1-based rank of every row by ``order``, whose leading key defines ``bucket``.
 
-    ``by`` must have few groups (a side, a fold): its offset table is broadcast.
+    Null is a group of its own.  Without ``by`` the offsets are at most 65,536
+    rows and are broadcast; with it Spark chooses the join.
     """
-    if bucketed is None:
-        bucketed = not is_small(df)
     if not bucketed:
         whole = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
         return df.withColumn(rank, F.row_number().over(whole).cast("bigint"))
     keyed = df.withColumn("_bucket", bucket)
     offsets = bucket_offsets(keyed, "_bucket", by).drop("_rows", "_total")
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    placed = keyed.withColumn("_pos", F.row_number().over(inside))
     return (
-        keyed.withColumn("_pos", F.row_number().over(inside))
-        .join(F.broadcast(offsets), [*by, "_bucket"])
+        null_safe_join(placed, offsets if by else F.broadcast(offsets), [*by, "_bucket"])
         .withColumn(rank, (F.col("_before") + F.col("_pos")).cast("bigint"))
         .select(*df.columns, rank)
     )
@@ -93,7 +98,7 @@ def take_first(df: DataFrame, order: str, n: int, width: int = 1, tie: Sequence[
 
 
 def split_evenly(
-    df: DataFrame, k: int, order: Sequence[str], bucket: Column, out: str, bucketed: bool | None = None
+    df: DataFrame, k: int, order: Sequence[str], bucket: Column, out: str, bucketed: bool = True
 ) -> DataFrame:
     """Contiguous parts 0..k-1 of the global order, sizes differing by at most one.
 
@@ -103,8 +108,6 @@ def split_evenly(
     """
     if k < 2:
         raise ValueError("need at least two parts")
-    if bucketed is None:
-        bucketed = not is_small(df)
 
     def part_of(rank0: str) -> Column:
         small, extra = f"(_total div {k})", f"(_total % {k})"
@@ -138,7 +141,7 @@ def split_evenly(
 
 
 def deterministic_shuffle(
-    df: DataFrame, seed, keys: Sequence[str], rank: str = "position", bucketed: bool | None = None
+    df: DataFrame, seed, keys: Sequence[str], rank: str = "position", bucketed: bool = True
 ) -> DataFrame:
     """A seeded permutation: each row's 1-based place, the same for any partitioning."""
     hashed = df.withColumn("_h", stable_hash(seed, *keys))

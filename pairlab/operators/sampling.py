@@ -77,8 +77,8 @@ def accepted_draws(draws: DataFrame, positives: DataFrame) -> DataFrame:
     return first.filter("attempt >= 0")
 
 
-def attempts_needed(wanted: int, available: int, possible: int, cap: int) -> int:
-    """Draws that yield ``min(wanted, available)`` distinct free pairs, at most ``cap``.
+def attempts_needed(wanted: int, available: int, possible: int, cap: int | None = None) -> int:
+    """Draws that yield ``min(wanted, available)`` distinct free pairs, at most ``cap`` if it is given.
 
     The smaller of two Chernoff bounds, each failing with odds below 1e-12, so
     that one pass is enough.  Sparse case: every draw is accepted with at least
@@ -104,7 +104,8 @@ def attempts_needed(wanted: int, available: int, possible: int, cap: int) -> int
     if spare:
         accepted = target + doubt + math.sqrt(doubt * doubt + 2 * doubt * target)
         draws = min(draws, accepted * possible / spare)
-    return min(cap, max(target, math.ceil(draws) + 1))
+    draws = max(target, math.ceil(draws) + 1)
+    return draws if cap is None else min(cap, draws)
 
 
 def pair_counts(pairs: DataFrame) -> tuple[int, int]:
@@ -146,30 +147,29 @@ def negative_pairs(
     positives: DataFrame,
     ratio: int = 1,
     seed=42,
-    max_factor: int = 100,
+    max_factor: int | None = None,
     dedupe: bool = True,
     with_attempt: bool = False,
 ) -> DataFrame:
     """``ratio`` negatives per positive, in attempt order, none of them a positive.
 
-    Entities are those of the positives.  At most ``max_factor`` attempts are made
-    per wanted pair; when they do not suffice fewer pairs come back, with a
-    warning if it can be foreseen.  ``dedupe=False`` counts repeated positives.
+    Entities are those of the positives.  Draws go on until all wanted or all
+    possible pairs are found; ``max_factor`` limits the attempts per wanted pair,
+    and fewer pairs come back, with a warning, when they do not suffice.  ``dedupe=False`` counts repeated positives.
     """
     ids = materialise(positives.select(*PAIR), "positives")
     rows, distinct = pair_counts(ids)
-    entities = materialise(index_entities(ids, seed), "entities", always=True)
+    entities = materialise(index_entities(ids, seed), "entities")
     n_left, n_right = universe_sizes(entities)
     possible = n_left * n_right
     available = possible - distinct
     wanted = (distinct if dedupe else rows) * ratio
-    cap = wanted * max_factor
     if wanted > available:
         warnings.warn(f"only {available} of {wanted} negatives exist", stacklevel=2)
-    attempts = attempts_needed(wanted, available, possible, cap + 1)
-    if attempts > cap:
-        warnings.warn(f"{cap} attempts may not find {wanted} negatives", stacklevel=2)
-        attempts = cap
+    attempts = attempts_needed(wanted, available, possible)
+    if max_factor is not None and attempts > wanted * max_factor:
+        attempts = wanted * max_factor
+        warnings.warn(f"{attempts} attempts may not find {wanted} negatives", stacklevel=2)
     draws = random_pairs(entities, attempts, seed, (n_left, n_right))
     accepted = accepted_draws(draws, ids)
     width = max(1, -(-attempts // (1 << BUCKET_BITS)))

@@ -83,7 +83,7 @@ def side_entities(tables: Tables, side: str, cfg: ExperimentConfig) -> DataFrame
     """
     key = f"{side}_id"
     enabled = with_structure(enabled_side(tables, side, cfg))
-    entities = materialise(side_table(enabled, key, side), f"{side}-entities", always=True)
+    entities = materialise(side_table(enabled, key, side), f"{side}-entities")
     if cfg.missing != "zeros":
         return entities.dropna()
     fill = {c: F.array_repeat(F.lit(0.0).cast("float"), w) for c, w in _modality_widths(entities, key).items()}
@@ -120,7 +120,7 @@ def _on_folds(spark, run, cfg: ExperimentConfig) -> list:
 
 def fused_features(split: DataFrame, tables: Tables, cfg: ExperimentConfig) -> DataFrame:
     """Per held-out pair the fused vector of either side, for export."""
-    split = materialise(split, "split", always=True)
+    split = materialise(split, "split")
     left, right = side_entities(tables, "left", cfg), side_entities(tables, "right", cfg)
     run = lambda fold: val_part(fold_features(split, left, right, fold, cfg), fold)
     return reduce(DataFrame.unionByName, _on_folds(split.sparkSession, run, cfg))
@@ -153,7 +153,7 @@ def cross_validate(split: DataFrame, tables: Tables, cfg: ExperimentConfig) -> C
     The split, the entity tables and the held-out scores are stored once; every
     fold reads the first two and all metrics are read from the scores.
     """
-    split = materialise(split, "split", always=True)
+    split = materialise(split, "split")
     left, right = side_entities(tables, "left", cfg), side_entities(tables, "right", cfg)
     weights = None
     if cfg.loss == "weighted_ce":
@@ -164,7 +164,7 @@ def cross_validate(split: DataFrame, tables: Tables, cfg: ExperimentConfig) -> C
         return _run_fold(split, left, right, fold, cfg, weights and weights[fold])
 
     parts = _on_folds(split.sparkSession, run, cfg)
-    predictions = materialise(reduce(DataFrame.unionByName, parts), "predictions", always=True)
+    predictions = materialise(reduce(DataFrame.unionByName, parts), "predictions")
     params = {
         "focal": {"alpha": cfg.focal_alpha, "gamma": cfg.focal_gamma},
         "label_smoothing": {"eps": cfg.label_smoothing},
@@ -175,7 +175,7 @@ def cross_validate(split: DataFrame, tables: Tables, cfg: ExperimentConfig) -> C
 
 def ablation(split: DataFrame, tables: Tables, cfg: ExperimentConfig, subsets: Sequence[Sequence[str]]) -> DataFrame:
     """Fold metrics of a run per switch subset, with a ``modalities`` column."""
-    split = materialise(split, "split", always=True)
+    split = materialise(split, "split")
     parts = []
     for subset in subsets:
         run = cross_validate(split, tables, replace(cfg, enabled=tuple(subset)))
@@ -193,7 +193,7 @@ def projection_2d(
     A view exists only if all its modality columns are there on both sides.
     ``fused`` adds the view of the fused vectors.
     """
-    assembled = materialise(assembled, "assembled", always=True)
+    assembled = materialise(assembled, "assembled")
     parts = []
     sources = []
     for view, (left, right) in (views or VIEWS).items():

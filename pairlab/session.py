@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Below this Catalyst size estimate a plan is cheaper to repeat than to store,
-# and single-level windows are used instead of bucketed ones.
-SMALL_PLAN_BYTES = 32 * 1024 * 1024
-
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
@@ -40,16 +36,21 @@ def plan_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
-def is_small(df: DataFrame, limit: int = SMALL_PLAN_BYTES) -> bool:
-    return plan_bytes(df) <= limit
+def _scheme(spark: SparkSession, path: str) -> str:
+    """The store of a path: its own scheme, or that of the default file system."""
+    if ":" not in path.split("/", 1)[0]:
+        path = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return path.split(":", 1)[0]
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by the session; a local folder only on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if root:
+        if not context.master.startswith("local") and _scheme(spark, root) == "file":
+            raise ValueError(f"{root} is on one machine only; spark.checkpoint.dir must be a folder every executor can reach")
         return root.rstrip("/")
-    context = spark.sparkContext
     if context.master.startswith("local"):
         if context.applicationId not in _LOCAL_ROOTS:
             _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="pairlab-")
@@ -57,15 +58,12 @@ def scratch_root(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-def materialise(df: DataFrame, name: str, always: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Store an intermediate table in the shared folder and return the stored copy.
 
     Cuts the lineage with files that outlive any executor, so later branches
-    read them instead of repeating the plan.  Plans estimated small are left
-    alone unless ``always`` is set.
+    read them instead of repeating the plan.
     """
-    if not always and is_small(df):
-        return df
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -46,3 +46,12 @@ def test_against_the_state_machine(spark, mode):
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         early_stop(log(spark, {"a": AUC}), mode="up")
+
+
+def test_nan_null_and_long_logs(spark):
+    scores = {1: [0.7, float("nan"), 0.9], 2: [None, 0.5, float("nan"), 0.6], 3: [0.001 * e for e in range(150)]}
+    rows = [(str(run), 0, e, v) for run, log in scores.items() for e, v in enumerate(log, 0 if run == 3 else 1)]
+    df = spark.createDataFrame(rows, "run_id string, fold int, epoch int, auc double")
+    best = {r.run_id: (r.epoch, r.auc) for r in best_epoch(df, delta=0.0005).collect()}
+    assert best["1"] == (3, 0.9) and best["2"] == (4, 0.6) and best["3"] == (149, 0.149)
+    assert {r.run_id: r.stop_epoch for r in early_stop(df, delta=0.0005).collect()} == {"1": None, "2": None, "3": None}

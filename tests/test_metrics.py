@@ -139,3 +139,11 @@ def test_score_cuts_are_bounded_and_balanced(spark):
     assert max(sizes) < 800
     a, b = (metrics.auc_roc(df, "fold", cuts=c).first().auc_roc for c in ([], cuts))
     assert a == pytest.approx(b)
+
+
+def test_a_null_group_counts_in_every_form(spark):
+    rows = [(f, i % 2, i / 10) for i in range(10) for f in (None, 1)]
+    df = spark.createDataFrame(rows, "fold int, label int, score double")
+    for cuts in (None, [], [0.2, 0.5]):
+        got = metrics.evaluate(df, cuts=cuts).collect()
+        assert len(got) == 2 and len({tuple(r)[1:] for r in got}) == 1

@@ -63,3 +63,10 @@ def test_shuffle_is_a_permutation_for_any_partitioning(spark):
     a = {r.k: r.position for r in ranking.deterministic_shuffle(df, 1, ["k"]).collect()}
     b = {r.k: r.position for r in ranking.deterministic_shuffle(df.repartition(13), 1, ["k"], bucketed=True).collect()}
     assert a == b and sorted(a.values()) == list(range(1, 1001))
+
+
+def test_null_groups_keep_their_ranks(spark):
+    df = spark.createDataFrame([(g, v) for g in (None, "a") for v in range(5)], "g string, v long")
+    for bucketed in (True, False):
+        got = ranking.rank_rows(df, ["v"], F.shiftright("v", 1), by=["g"], bucketed=bucketed).collect()
+        assert sorted((str(r.g), r.rank) for r in got) == [(g, k) for g in ("None", "a") for k in range(1, 6)]

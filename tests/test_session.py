@@ -5,16 +5,9 @@ import pytest
 from pairlab import session
 
 
-def test_small_plans_are_not_stored(spark):
-    df = spark.range(10)
-    assert session.materialise(df, "x") is df
-    assert 0 < session.plan_bytes(df) < 1000 and session.is_small(df)
-    assert not session.is_small(df, 10)
-
-
 def test_stored_copies_and_their_removal(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "scratch_root", lambda s: str(tmp_path))
-    kept = session.materialise(spark.range(10), "x", always=True)
+    kept = session.materialise(spark.range(10), "x")
     assert kept.count() == 10 and "parquet" in kept.inputFiles()[0]
     other = tmp_path / "pairlab" / "another-application"
     other.mkdir()
@@ -32,5 +25,11 @@ def test_shared_folder_is_required_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.scratch_root(Session)
+    Session.conf = type("C", (), {"get": staticmethod(lambda key, default: "file:/tmp/x")})
+    with pytest.raises(ValueError, match="one machine"):
+        session.scratch_root(Session)
+    Session.conf = type("C", (), {"get": staticmethod(lambda key, default: "hdfs://store/x/")})
+    assert session.scratch_root(Session) == "hdfs://store/x"
+    Session.conf = type("C", (), {"get": staticmethod(lambda key, default: default)})
     Context.master = "local[2]"
     assert session.scratch_root(Session) == session.scratch_root(Session)
