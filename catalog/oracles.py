@@ -126,6 +126,23 @@ HISTORY = """
         from events
     )"""
 
+LONG_HISTORY = """
+    history as (
+        select l_suppkey as run_id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as epoch,
+               row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) / 1000.0 as auc
+        from lineitem
+    )"""
+
+NAN_HISTORY = """
+    history as (
+        select run_id, epoch, case when epoch % 3 = 2 then 'nan'::double else auc end as auc
+        from (
+            select user_id as run_id, row_number() over (partition by user_id order by ts, event_id) as epoch,
+                   value / (value + 50.0) as auc
+            from events
+        )
+    )"""
+
 VECTORS = f"""
     v as (
         select {KEYS}, l_quantity as a0, l_extendedprice / 1000.0 as a1, l_discount * 100.0 as b0, l_quantity as b1,
@@ -529,6 +546,7 @@ SQL = {
         select {r6('pr_auc', 'pr_auc')} from ranked""",
     "evaluate": f"with {SCORED}, {METRIC_ROWS} {EVALUATED}",
     "evaluate_ranged": f"with {SCORED}, {METRIC_ROWS} {EVALUATED}",
+    "evaluate_null_group": f"with {SCORED}, {METRIC_ROWS} select nullif(fold, 0) as fold, * exclude (fold) from ({EVALUATED})",
     "evaluate_ties": f"with {TIES}, {METRIC_ROWS} {EVALUATED}",
     "cv_summary": f"""with {SCORED}, {LONG}
         select metric, {r6('avg(value)', 'mean')}, {r6('stddev_pop(value)', 'std')},
@@ -554,6 +572,10 @@ SQL = {
         union all select 'pr', {r6('avg(pr_auc)', 'area')}, {r6('stddev_pop(pr_auc)', 'std')} from ranked""",
     "early_stop": f"""with recursive {stop_states(5, '0.001', BETTER_MAX)}
         select run_id, stop_epoch, {r6('best_score', 'best_score')} from stops""",
+    "early_stop_long": f"""with recursive {stop_states(5, '0.0005', BETTER_MAX).replace(HISTORY, LONG_HISTORY)}
+        select cast(run_id as bigint) as run_id, stop_epoch, {r6('best_score', 'best_score')} from stops""",
+    "early_stop_nan": f"""with recursive {stop_states(5, '0.001', "not isnan(h.auc) and " + BETTER_MAX).replace(HISTORY, NAN_HISTORY)}
+        select run_id, stop_epoch, {r6('best_score', 'best_score')} from stops""",
     "early_stop_min": f"""with recursive {stop_states(8, '0.01', BETTER_MIN)}
         select run_id, stop_epoch, {r6('best_score', 'best_score')} from stops""",
     "best_epoch": f"""with recursive {stop_states(5, '0.001', BETTER_MAX)},

@@ -500,6 +500,12 @@ def evaluate_ranged(spark, sf):
     return _evaluated(metrics.evaluate(df, "fold", cuts=cuts))
 
 
+def evaluate_null_group(spark, sf):
+    """A null fold is a fold of its own, also with the scores cut into ranges."""
+    df = fx.scored(spark, sf).withColumn("fold", F.when(F.col("fold") != 0, F.col("fold")))
+    return _evaluated(metrics.evaluate(df, "fold", cuts=[0.1, 0.3]))
+
+
 def evaluate_ties(spark, sf):
     return _evaluated(metrics.evaluate(fx.scored_ties(spark, sf), "fold"))
 
@@ -600,6 +606,18 @@ def early_stop_min(spark, sf):
     return out.select("run_id", "stop_epoch", r6("best_score"))
 
 
+def early_stop_long(spark, sf):
+    """Logs as long as a supplier has lines, with scores that keep rising."""
+    out = history.early_stop(fx.long_history(spark, sf), delta=0.0005, by="run_id")
+    return out.select("run_id", "stop_epoch", r6("best_score"))
+
+
+def early_stop_nan(spark, sf):
+    logs = fx.history(spark, sf).withColumn("auc", F.when(F.col("epoch") % 3 == 2, F.lit(float("nan"))).otherwise(F.col("auc")))
+    out = history.early_stop(logs, by="run_id")
+    return out.select("run_id", "stop_epoch", r6("best_score"))
+
+
 def best_epoch(spark, sf):
     return history.best_epoch(fx.history(spark, sf), by="run_id").select("run_id", "epoch", r6("auc"))
 
@@ -735,9 +753,9 @@ QUERIES = {
         normalised_weights, stored_weights, softmax_scores, predict_label, ce_loss, ce_loss_clipped,
         ce_loss_logits, focal_loss, focal_loss_sum, label_smoothing_loss, weighted_ce_loss, class_weights,
         confusion_matrix, accuracy, precision_recall_f1, auc_roc, auc_roc_ties, average_precision,
-        average_precision_ties, evaluate, evaluate_ranged, evaluate_ties, cv_summary, metrics_comparison,
+        average_precision_ties, evaluate, evaluate_ranged, evaluate_null_group, evaluate_ties, cv_summary, metrics_comparison,
         stored_results, roc_points, pr_points, roc_grid, pr_grid, roc_grid_ties, pr_grid_ties, mean_roc_curve,
-        mean_pr_curve, curve_area, curve_summary, early_stop, early_stop_min, best_epoch, score_linear, project_modality,
+        mean_pr_curve, curve_area, curve_summary, early_stop, early_stop_min, early_stop_long, early_stop_nan, best_epoch, score_linear, project_modality,
         predictions_simple, predictions_detail, all_folds_predictions, fused_features_concat, raw_features_export,
         cross_validate, cross_validate_predictions, ablation, projection_2d, fused_features,
     )
