@@ -60,12 +60,18 @@ def test_classifiers(spark, kind):
     cfg = ExperimentConfig(n_folds=3, fusion="concat")
     rows = experiment.fold_features(split, left, right, 0, cfg).withColumn("features", concat_vectors("left_fused", "right_fused"))
     params = {"mlp": {"hidden": 8, "maxIter": 60}, "gbt": {"maxIter": 5}}.get(kind, {})
-    model = modelling.fit_fold(folds.train_part(rows, 0), kind=kind, params=params, weighting=True)
+    model = modelling.fit_fold(folds.train_part(rows, 0), kind=kind, params=params, weighting=kind != "mlp")
     out = modelling.score(model, folds.val_part(rows, 0))
     assert metrics.auc_roc(out).first().auc_roc > 0.7
     assert out.filter("pred <> cast(score > 0.5 as int)").count() == 0
 
 
+def test_the_network_takes_no_class_weights(spark):
+    for given in ({"weighting": True}, {"weights": (1.0, 2.0)}):
+        with pytest.raises(ValueError, match="no class weights"):
+            modelling.fit_fold(spark.range(1), kind="mlp", **given)
+
+
 def test_projection_is_fitted_on_the_given_rows_only(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(2.0, 3.0, (60, 5))
