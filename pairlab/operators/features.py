@@ -113,7 +113,7 @@ def side_table(tables: dict[str, DataFrame], key: str, prefix: str) -> DataFrame
     return merged.withColumnRenamed("id", key)
 
 
-def _filled(name: str, key: str, policy: str, dims: dict[str, int]) -> Column:
+def _filled(table: DataFrame, name: str, key: str, policy: str, dims: dict[str, int]) -> Column:
     if policy == "drop":
         return F.col(name)
     if policy == "zeros":
@@ -121,7 +121,7 @@ def _filled(name: str, key: str, policy: str, dims: dict[str, int]) -> Column:
             raise ValueError(f"policy 'zeros' needs the width of {name}")
         return F.coalesce(F.col(name), F.array_repeat(F.lit(0.0).cast("float"), dims[name])).alias(name)
     text = F.concat(F.lit(f"no {name} vector for "), F.col(key))
-    failure = F.raise_error(text).cast("array<double>")
+    failure = F.raise_error(text).cast(table.schema[name].dataType)
     return F.when(F.col(name).isNull(), failure).otherwise(F.col(name)).alias(name)
 
 
@@ -151,8 +151,8 @@ def join_sides(
     dims = dims or {}
     return joined.select(
         *pairs.columns,
-        *[_filled(c, "left_id", missing, dims) for c in left_cols],
-        *[_filled(c, "right_id", missing, dims) for c in right_cols],
+        *[_filled(joined, c, "left_id", missing, dims) for c in left_cols],
+        *[_filled(joined, c, "right_id", missing, dims) for c in right_cols],
     )
 
 

@@ -93,12 +93,14 @@ def load_modalities(
     catalogue: dict,
     enabled: Iterable[tuple[str, str]],
     optional: bool = False,
+    widths: bool = True,
     **read_options,
 ) -> dict[tuple[str, str], DataFrame]:
     """Feature tables of the enabled (side, modality) entries of a catalogue.
 
     Tables that are switched off are not touched.  A missing file is an error;
-    ``optional=True`` leaves it out instead.
+    ``optional=True`` leaves it out instead.  Vectors of another width than the
+    entry declares fail when they are read, unless ``widths=False``.
     """
     tables = {}
     for key in enabled:
@@ -107,7 +109,8 @@ def load_modalities(
             if optional:
                 continue
             raise FileNotFoundError(f"{key[0]} {key[1]}: {entry['path']}")
-        tables[key] = read_features(spark, entry["path"], entry["id_col"], entry["fmt"], **read_options)
+        read = read_features(spark, entry["path"], entry["id_col"], entry["fmt"], **read_options)
+        tables[key] = check_widths(read, entry["dim"]) if widths and entry.get("dim") else read
     return tables
 
 
