@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -18,9 +20,17 @@ _HELD: dict = {}
 
 
 def worker_cache(name: str, make):
-    """What a worker process remembers under ``name``; it holds one operator's cache at a time."""
+    """What a worker process remembers under ``name``; it holds one operator's cache at a time.
+
+    Before another operator's cache is made, the freed memory goes back to the
+    system where the C library can do that.
+    """
     if name not in _HELD:
         _HELD.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
         _HELD[name] = make()
     return _HELD[name]
 

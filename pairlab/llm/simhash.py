@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.llm.common import components, edge_roots, store
+from pairlab.llm.common import components, edge_roots, store, worker_cache
 
 SAMPLE = 16_384  # fingerprints that fit the upper tree
 SHARD = 4_096, 65_536  # least and most points of a shard; a table is cut into 16 shards between the two
@@ -62,6 +62,7 @@ def fingerprint_bytes(text: bytes | None, width: int = 4) -> bytes:
 
 @F.arrow_udf(T.BinaryType())
 def _fingerprints(texts: pa.Array) -> pa.Array:
+    worker_cache("none", dict)  # it remembers nothing, and no other operator's cache is needed now
     return pa.array([fingerprint_bytes(t) for t in texts.to_pylist()], pa.binary())
 
 

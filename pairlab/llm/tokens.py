@@ -12,7 +12,7 @@ from pairlab.llm.common import worker_cache
 VOCABULARY = "word_bpe_49k.json"
 MARKS = b".,;:!?|"
 PLAIN = "\u0130"  # letters below it are composed already and have plain lower case
-CACHED = 500_000  # chunks that a worker remembers
+CACHED = 400_000  # chunks that a worker remembers
 TOGETHER = 1 << 22  # bytes of text looked up at once
 
 
