@@ -159,3 +159,18 @@ def test_passages_are_found_and_clean_documents_are_left_alone(spark):
     assert shared.upper() in cut[100] and not any(shared.upper() in cut[i] for i in range(101, 112))
     assert all(cut[i] == t for i, t in rows[:20]) and len(cut) == len(rows)
     assert passages.near_passages(df.limit(0)).count() == 0
+
+
+def test_a_passage_goes_on_after_an_inserted_or_deleted_word(spark):
+    rng = np.random.default_rng(6)
+    base = sentence(rng, 204).split()
+    longer, shorter = base[:64] + ["inserted"] + base[64:], base[:64] + base[65:]
+    for other in (longer, shorter):
+        a, b = (passages.shingle_hashes(" ".join(x).encode()) for x in (other, base))
+        parts = passages.trimmed(a, b, 46, 0.8)
+        assert [(lo, n) for lo, n, *_ in parts] == [(0, len(a))] and all(p[4] > 0.9 for p in parts)
+    rows = [(1, " ".join(base) + " " + sentence(rng, 60)), (2, sentence(rng, 70) + " " + " ".join(longer)), (3, " ".join(shorter) + " " + sentence(rng, 30))]
+    got = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for doc, lo, hi in ((2, 70, 275), (3, 0, 203)):
+        places = {w for r in got if r.doc_id == doc and r.of_doc_id == 1 for w in range(r.start_word, r.start_word + r.n_words)}
+        assert len(places & set(range(lo, hi))) >= hi - lo - 6
