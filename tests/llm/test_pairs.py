@@ -174,3 +174,23 @@ def test_a_passage_goes_on_after_an_inserted_or_deleted_word(spark):
     for doc, lo, hi in ((2, 70, 275), (3, 0, 203)):
         places = {w for r in got if r.doc_id == doc and r.of_doc_id == 1 for w in range(r.start_word, r.start_word + r.n_words)}
         assert len(places & set(range(lo, hi))) >= hi - lo - 6
+
+
+def test_passages_changed_on_one_side_only_are_trimmed_by_the_jaccard_bound():
+    x = np.arange(1, 2_001, dtype=np.uint32)
+    # 8 words inserted between 40 and 40 matching shingles: 4 broken shingles on one side, 12 on the other, Jaccard 80 / 96
+    short, long = np.concatenate([x[:40], x[100:104], x[40:80]]), np.concatenate([x[:40], x[200:212], x[40:80]])
+    for a, b in ((short, long), (long, short)):
+        assert passages.trimmed(a, b, 46, 0.8) == [(0, len(a), 0, len(b), 80 / 96)]
+    # a whole in one run, its halves far apart in b: each half is a repeat of its own
+    b = np.concatenate([x[:60], x[300:400], x[60:120]])
+    assert sorted(p[:4] for p in passages.trimmed(x[:120], b, 46, 0.8)) == [(0, 60, 0, 60), (60, 60, 160, 60)]
+    # misses on both sides: too many for the whole, few enough for a part
+    a, b = np.concatenate([x[:60], x[400:413], x[60:80]]), np.concatenate([x[:60], x[500:513], x[60:80]])
+    assert passages.trimmed(a, b, 46, 0.8)[0][:4] == (0, 60, 0, 60)
+
+
+def test_the_older_side_of_a_candidate_holds_an_inserted_tail():
+    links = {"doc": [2, 2, 2, 2], "of_doc": [1] * 4, "l": [0, 0, 20, 20], "c": [20, 21, 60, 61], "r": [80] * 4, "of_l": [0, 0, 28, 28], "of_c": [20, 21, 68, 69], "of_r": [90] * 4}
+    doc, at, of_doc, of_at, size, of_size = (x.tolist() for x in passages._regions({k: np.array(v) for k, v in links.items()}, 46, 2))
+    assert (doc, of_doc) == ([2], [1]) and at[0] == of_at[0] == 0 and size[0] == 81 and of_at[0] + of_size[0] == 89
