@@ -194,3 +194,18 @@ def test_the_older_side_of_a_candidate_holds_an_inserted_tail():
     links = {"doc": [2, 2, 2, 2], "of_doc": [1] * 4, "l": [0, 0, 20, 20], "c": [20, 21, 60, 61], "r": [80] * 4, "of_l": [0, 0, 28, 28], "of_c": [20, 21, 68, 69], "of_r": [90] * 4}
     doc, at, of_doc, of_at, size, of_size = (x.tolist() for x in passages._regions({k: np.array(v) for k, v in links.items()}, 46, 2))
     assert (doc, of_doc) == ([2], [1]) and at[0] == of_at[0] == 0 and size[0] == 81 and of_at[0] + of_size[0] == 89
+
+
+def test_an_exact_repeat_is_found_beside_an_unrelated_first_document(spark):
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for i in range(0, 120, 3):
+        shared = sentence(rng, 60).split()
+        # the first holds 48 of the 60 words, too few for a passage
+        rows += [(i, sentence(rng, 30) + " " + " ".join(shared[6:54]) + " " + sentence(rng, 30))]
+        rows += [(i + k, sentence(rng, 20 + k) + " " + " ".join(shared) + " " + sentence(rng, 30)) for k in (1, 2)]
+        want[i + 2] = (i + 1, 22)
+    got = {}
+    for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault((r.doc_id, r.of_doc_id), set()).update(range(r.start_word, r.start_word + r.n_words))
+    assert all(set(range(at, at + 60)) <= got.get((doc, of_doc), set()) for doc, (of_doc, at) in want.items())
