@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import embedding_dedup, language, licenses, lm, mixing, neighbours, packing, passages, simhash, toxicity
+from pairlab.llm import divergence, embedding_dedup, language, licenses, lm, mixing, neighbours, packing, passages, simhash, toxicity
 from pairlab.llm.common import read_table, remainder
 
 
@@ -61,6 +61,10 @@ def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(docs.withColumn("path", path), "doc_id", "path", "text").withColumnRenamed("file", "doc_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
@@ -72,6 +76,47 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_source_divergence": op11_source_divergence,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_source_divergence": """
+        with d as (
+            select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+            from documents
+        ),
+        words as (
+            select doc, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d
+        ),
+        kept as (select lang, term, count(*) as lang_n from words group by all having count(distinct doc) >= 30),
+        counts as (select lang, source, term, count(*) as n from words join kept using (lang, term) group by all),
+        groups as (select distinct lang, source from d),
+        langs as (select lang, sum(lang_n) as lang_total, count(*) as v from kept group by lang),
+        cells as (
+            select lang, source, term, coalesce(n, 0) as n, lang_n, lang_total, v, sum(coalesce(n, 0)) over (partition by lang, source) as total
+            from groups join kept using (lang) join langs using (lang) left join counts using (lang, source, term)
+        ),
+        shares as (
+            select lang, source, term, n,
+                   cast(1 + (1000000000::hugeint * (n + 5)) // (total + 5 * v) as bigint) as p,
+                   cast(1 + (1000000000::hugeint * (lang_n + 5)) // (lang_total + 5 * v) as bigint) as q
+            from cells
+        ),
+        far as (
+            select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+            from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+        ),
+        both_parts as (
+            select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value
+            from groups a join groups b on a.lang = b.lang and a.source <> b.source
+            left join far f on f.lang = a.lang and f.source = a.source and f.item = b.source
+            union all
+            select lang, source, 'term', term, p - q from shares where n > 0 and p > q
+        ),
+        ranked as (
+            select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+            from both_parts
+        )
+        select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50""",
+}
