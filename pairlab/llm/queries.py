@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import divergence, embedding_dedup, language, licenses, lm, mixing, neighbours, packing, passages, simhash, toxicity
+from pairlab.llm import divergence, embedding_dedup, language, licenses, lm, mixing, neighbours, packing, passages, prefix_tree, simhash, toxicity
 from pairlab.llm.common import read_table, remainder
 
 
@@ -65,6 +65,10 @@ def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_tree.prefix_trie(read_table(spark, sf, "conversations"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
     "op11_source_divergence": op11_source_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 SQL: dict[str, str] = {
@@ -119,4 +124,51 @@ SQL: dict[str, str] = {
             from both_parts
         )
         select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50""",
+    # the check sum of a decimal number, bit by bit, gives the turns taken from the family's first conversation
+    "op12_prefix_trie": """
+        with turns as (
+            select conv_id, row_number() over (partition by conv_id order by turn nulls first) as pos,
+                   sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as id,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as words
+            from conversations
+        ),
+        sums as (
+            select distinct conv_id, conv_id - conv_id % 20 as base, list_reduce(
+                list_prepend(4294967295::bigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda x: ord(x)::bigint)),
+                lambda c, b: list_reduce(
+                    list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+                    lambda r, i: xor(r >> 1, case when r & 1 = 1 then 3988292384 else 0 end)
+                )
+            ) as state
+            from turns
+        ),
+        convs as (select conv_id, base, xor(state, 4294967295) % 4 as h from sums),
+        rows_ as (
+            select conv_id, pos, id, words from convs join turns using (conv_id) where pos > h or base = conv_id
+            union all
+            select c.conv_id, pos, id, words from convs c join turns t on t.conv_id = c.base where pos <= h and base <> c.conv_id
+        ),
+        built as (
+            select conv_id, coalesce(list(id order by pos) filter (where id is not null), []) as ids,
+                   coalesce(list(words order by pos) filter (where id is not null), []) as counts
+            from convs left join rows_ using (conv_id) group by conv_id
+        ),
+        members as (
+            select conv_id, len(ids) as len, unnest(range(len(ids) + 1)) as depth, ids, counts from built
+        ),
+        nodes as (
+            select ids[1:depth] as prefix, depth, min(conv_id) as conv_id, count(*) as n_convs,
+                   coalesce(max(counts[depth]), 0) as words,
+                   sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where len = depth), '')) as ends_sha256
+            from members group by all
+        ),
+        kids as (select prefix[1:depth - 1] as prefix, count(*) as n_children from nodes where depth > 0 group by 1),
+        own as (
+            select prefix, depth, coalesce(n_children, 0) as n_children, (n_convs - 1) * words as saved from nodes left join kids using (prefix)
+        ),
+        up as (select prefix[1:a] as prefix, n_children, saved from (select *, unnest(range(depth + 1)) as a from own)),
+        below as (select prefix, count(*) filter (where n_children = 0) as n_leaves, cast(sum(saved) as bigint) as saved_tokens from up group by 1)
+        select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, o.n_children, n_leaves, saved_tokens, n.ends_sha256
+        from nodes n join own o on n.prefix = o.prefix join below b on n.prefix = b.prefix
+        left join nodes p on n.depth > 0 and p.prefix = n.prefix[1:n.depth - 1]""",
 }
