@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import divergence, embedding_dedup, language, licenses, lm, mixing, neighbours, packing, passages, prefix_tree, simhash, toxicity
+from pairlab.llm import divergence, embedding_dedup, language, licenses, lm, mixing, neighbours, packing, passages, prefix_tree, simhash, toxicity, warc
 from pairlab.llm.common import read_table, remainder
 
 
@@ -69,6 +69,10 @@ def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_tree.prefix_trie(read_table(spark, sf, "conversations"))
 
 
+def op13_warc_salvage(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf, "pages"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
@@ -82,6 +86,7 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
     "op11_source_divergence": op11_source_divergence,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_warc_salvage": op13_warc_salvage,
 }
 
 SQL: dict[str, str] = {
@@ -171,4 +176,14 @@ SQL: dict[str, str] = {
         select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, o.n_children, n_leaves, saved_tokens, n.ends_sha256
         from nodes n join own o on n.prefix = o.prefix join below b on n.prefix = b.prefix
         left join nodes p on n.depth > 0 and p.prefix = n.prefix[1:n.depth - 1]""",
+    "op13_warc_salvage": """
+        with p as (
+            select page_id, sha256(coalesce(html, '')) as payload_digest, octet_length(encode(coalesce(html, ''))) as payload_bytes
+            from pages
+        ),
+        q as (select *, min(page_id) over (partition by payload_digest, payload_bytes) as first from p)
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes >= 100 and page_id is distinct from first and first is not null then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 100 and page_id is distinct from first then first end as refers_to
+        from q""",
 }
