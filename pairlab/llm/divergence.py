@@ -40,7 +40,7 @@ def document_terms(text: bytes) -> Counter:
     return Counter(text.translate(LETTERS).split())
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def emptied() -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             times.update(one)
             docs.update(one.keys())
             size += len(times)
-            if size > HELD:
+            if size > most:
                 yield from emptied()
                 size = 0
     yield from emptied()
@@ -77,7 +77,7 @@ def _named(docs: DataFrame, lang: str, source: str, *more: Column) -> DataFrame:
 
 
 def term_counts(
-    docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST_DOCS
+    docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST_DOCS, most_held: int = HELD
 ) -> DataFrame:
     """(lang, source, term, n, lang_n, leader): counts above zero of the terms in at least ``least`` documents of their language.
 
@@ -85,7 +85,7 @@ def term_counts(
     Null texts, languages and sources are empty strings; every row is a document, also a repeated one.
     """
     rows = _named(docs, lang, source, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    sums = rows.mapInArrow(_sums, "lang string, source string, term string, n long, docs long")
+    sums = rows.mapInArrow(lambda batches: _sums(batches, most_held), "lang string, source string, term string, n long, docs long")
     # dealt by (lang, term), one shuffle serves the sums per source and those over all sources
     each = sums.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     everywhere = Window.partitionBy("lang", "term")
@@ -118,7 +118,7 @@ def group_sizes(docs: DataFrame, counts: DataFrame, lang: str = "lang", source:
 def _distances(block: pd.DataFrame) -> pd.DataFrame:
     """Sums of |p - q| over the block's terms, for every pair of sources that belongs to the block."""
     own = block.drop_duplicates("place").sort_values("place")
-    places, names, zero = own["place"].to_numpy(), own["source"].to_numpy(), own["p0"].to_numpy(np.int64)
+    places, names, zero = own["place"].to_numpy(), own["source"].to_numpy(object), own["p0"].to_numpy(np.int64)
     known = block[block["term"].notna()]
     term, terms = pd.factorize(known["term"])
     shares = np.repeat(zero[:, None], len(terms), axis=1)
@@ -126,22 +126,23 @@ def _distances(block: pd.DataFrame) -> pd.DataFrame:
     # the first block of terms answers for all kept terms, every block takes its own back
     rest = (int(own["v"].iloc[0]) if block["part"].iloc[0] == 0 else 0) - len(terms)
     low, high = block["low"].iloc[0], block["high"].iloc[0]
-    of = places // SOURCE_BLOCK
-    found = []
+    of = own["own"].to_numpy()
+    lefts, rights, values = [], [], []
     for i in np.flatnonzero(of == low):
         other = np.flatnonzero((of == high) & (places > places[i]))
-        if len(other):
-            away = np.abs(shares[other] - shares[i]).sum(axis=1) + rest * np.abs(zero[other] - zero[i])
-            found.append(pd.DataFrame({"lang": own["lang"].iloc[0], "a": names[i], "b": names[other], "value": away}))
-    return pd.concat(found) if found else pd.DataFrame({"lang": [], "a": [], "b": [], "value": []})
+        away = np.abs(shares[other] - shares[i]).sum(axis=1) + rest * np.abs(zero[other] - zero[i])
+        lefts += [names[i]] * len(other)
+        rights += names[other].tolist()
+        values += away.tolist()
+    return pd.DataFrame({"lang": [own["lang"].iloc[0]] * len(values), "a": lefts, "b": rights, "value": values}, dtype=object)
 
 
-def source_pairs(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+def source_pairs(counts: DataFrame, sizes: DataFrame, term_block: int = TERM_BLOCK, source_block: int = SOURCE_BLOCK) -> DataFrame:
     """(lang, a, b, value): the distance of every two sources of a language, a before b."""
-    parts = F.greatest(F.lit(1), F.expr(f"(v + {TERM_BLOCK - 1}) div {TERM_BLOCK}"))
+    parts = F.greatest(F.lit(1), F.expr(f"(v + {term_block - 1}) div {term_block}"))
     last = F.max("place").over(Window.partitionBy("lang"))
     groups = sizes.select(
-        "*", parts.alias("parts"), F.expr(f"place div {SOURCE_BLOCK}").alias("own"), F.floor(last / SOURCE_BLOCK).alias("last")
+        "*", parts.alias("parts"), F.expr(f"place div {source_block}").alias("own"), F.floor(last / source_block).alias("last")
     )
     keep = ["lang", "source", "place", "v", "p0", "own", "last"]
     known = counts.join(groups, ["lang", "source"]).select(
@@ -154,7 +155,7 @@ def source_pairs(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     )
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
     dealt = known.unionByName(present).select("*", other)
-    dealt = dealt.select("lang", "source", "place", "v", "p0", "part", "term", "p", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    dealt = dealt.select("lang", "source", "place", "v", "p0", "own", "part", "term", "p", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     blocks = dealt.groupBy("lang", "part", "low", "high").applyInPandas(_distances, "lang string, a string, b string, value long")
     return blocks.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 

@@ -4,8 +4,6 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import pytest
-
 from pairlab.llm import divergence
 
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -49,17 +47,24 @@ def rows_of(seed, n, sources):
     ]
 
 
-@pytest.mark.parametrize(("terms", "sources"), [(2_048, 256), (2, 256), (3, 2), (1, 1)])
-def test_audit_equals_exact_arithmetic(spark, monkeypatch, terms, sources):
-    monkeypatch.setattr(divergence, "TERM_BLOCK", terms)
-    monkeypatch.setattr(divergence, "SOURCE_BLOCK", sources)
-    monkeypatch.setattr(divergence, "HELD", 7)
+def test_audit_equals_exact_arithmetic(spark):
     rows = rows_of(1, 150, ["s1", "s10", "s2", None, "", "ß"])
     got = divergence.audit(spark.createDataFrame(rows, SCHEMA), least=8)
     assert [f.dataType.simpleString() for f in got.schema] == ["string", "string", "string", "string", "bigint", "int"]
     assert sorted(map(tuple, got.collect())) == plain(rows, 8)
 
 
+def test_blocks_and_task_sums_do_not_change_results(spark):
+    rows = rows_of(2, 150, ["s1", "s10", "s2", None, "ß"])
+    docs = spark.createDataFrame(rows, SCHEMA)
+    counts = divergence.term_counts(docs, least=8, most_held=7)
+    sizes = divergence.group_sizes(docs, counts)
+    want = sorted((lang, min(s, i), max(s, i), v) for lang, s, part, i, v, _ in plain(rows, 8) if part == "pair" and s < i)
+    for terms, sources in ((2, 256), (3, 2), (1, 1)):
+        got = divergence.source_pairs(counts, sizes, terms, sources)
+        assert sorted(map(tuple, got.collect())) == want
+
+
 def test_fewer_terms_are_returned_and_ties_go_by_item(spark):
     rows = [(i, "a b c d é", "en", "x") for i in range(5)] + [(9, "q", "en", "y")] + [(10 + i, "q", "en", "y") for i in range(5)]
     got = divergence.audit(spark.createDataFrame(rows, SCHEMA), least=3, top=2)
