@@ -396,6 +396,10 @@ SQL = {
     "take_first": """
         select o_orderkey, o_custkey, o_totalprice from orders
         order by o_orderkey limit (select count(*) // 10 from orders)""",
+    "take_first_spread": f"""
+        select l_orderkey, l_linenumber, l_partkey, l_suppkey, {h60("'42'", 'l_orderkey', 'l_linenumber')} as place
+        from lineitem order by place, l_orderkey, l_linenumber, l_partkey, l_suppkey
+        limit (select count(*) // 10 from lineitem)""",
     **{
         name: f"""with {PAIRS}
         select left_id, right_id, row_number() over (

@@ -144,7 +144,15 @@ def negative_shortfall(spark, sf):
 def take_first(spark, sf):
     """The tenth of all orders that came first by key."""
     orders = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return ranking.take_first(orders, "o_orderkey", orders.count() // 10, width=7)
+    return ranking.take_first(orders, "o_orderkey", orders.count() // 10)
+
+
+def take_first_spread(spark, sf):
+    """The tenth of all lines that comes first by a 60-bit hash of its keys, refined down to a few rows."""
+    lines = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    hashed = lines.withColumn("place", ids.stable_hash(42, "l_orderkey", "l_linenumber"))
+    tie = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return ranking.take_first(hashed, "place", lines.count() // 10, tie, ordered_rows=16).select(*tie, "place")
 
 
 def deterministic_shuffle(spark, sf):
@@ -152,8 +160,8 @@ def deterministic_shuffle(spark, sf):
 
 
 def deterministic_shuffle_bucketed(spark, sf):
-    """The same permutation through the form used beyond small inputs."""
-    return ranking.deterministic_shuffle(fx.positives(spark, sf), 42, ["left_id", "right_id"], bucketed=True)
+    """The same permutation with few buckets, so that ranks come from inside them."""
+    return ranking.deterministic_shuffle(fx.positives(spark, sf), 42, ["left_id", "right_id"], bits=3)
 
 
 # -- folds --------------------------------------------------------------------
@@ -174,8 +182,8 @@ def assign_folds(spark, sf):
 
 
 def assign_folds_bucketed(spark, sf):
-    """The same folds through the form used beyond small inputs."""
-    return folds.assign_folds(_labelled(spark, sf), 5, 42, bucketed=True)
+    """The same folds with few buckets, so that every fold boundary lies inside one."""
+    return folds.assign_folds(_labelled(spark, sf), 5, 42, bits=3)
 
 
 def assign_folds_repeats(spark, sf):
@@ -744,7 +752,7 @@ QUERIES = {
     for f in (
         normalise_ids, drop_null_ids, read_pairs_dedup, read_features_vector, load_modalities, keep_last_features,
         entity_universe, index_entities, dataset_summary, negative_capacity, random_pairs, exclude_pairs,
-        negative_pairs, negative_pairs_ratio2, negative_pairs_repeats, negative_shortfall, take_first,
+        negative_pairs, negative_pairs_ratio2, negative_pairs_repeats, negative_shortfall, take_first, take_first_spread,
         deterministic_shuffle, deterministic_shuffle_bucketed, label_union, assign_folds, assign_folds_bucketed,
         assign_folds_repeats, fold_summary, fold_views, prepare_splits, stored_splits, overlap_check,
         fold_leak_check, pairs_in_several_folds, violation_examples, assemble_pairs, assemble_pairs_hot,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.functions.ids import stable_hash
-from pairlab.operators.ranking import hash_bucket, number_copies, split_evenly
+from pairlab.operators.ranking import BUCKET_BITS, hash_bucket, number_copies, split_evenly
 from pairlab.operators.sampling import PAIR
 
 
@@ -17,13 +17,14 @@ def label_union(positives: DataFrame, negatives: DataFrame) -> DataFrame:
 
 
 def assign_folds(
-    pairs: DataFrame, k: int = 5, seed=42, unique: bool = True, bucketed: bool | None = None
+    pairs: DataFrame, k: int = 5, seed=42, unique: bool = True, bits: int = BUCKET_BITS
 ) -> DataFrame:
     """A ``fold`` 0..k-1 per row: a seeded shuffle cut into k parts, not stratified.
 
     Part sizes differ by at most one, the first ``n mod k`` being larger.  Rows
     must be unique per (pair, label); with ``unique=False`` repeated rows are
-    numbered first so that copies may fall into different folds.
+    numbered first so that copies may fall into different folds.  The folds do
+    not depend on ``bits``, the logarithm of the number of buckets.
     """
     keys = [c for c in (*PAIR, "label") if c in pairs.columns]
     order = [*keys]
@@ -31,7 +32,7 @@ def assign_folds(
         pairs = number_copies(pairs, keys)
         order.append("copy_no")
     hashed = pairs.withColumn("_h", stable_hash(seed, *order))
-    split = split_evenly(hashed, k, ["_h", *order], hash_bucket("_h"), "fold", bucketed)
+    split = split_evenly(hashed, k, ["_h", *order], hash_bucket("_h", bits), "fold")
     return split.drop("_h", "copy_no")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions.ids import hash_pair, stable_hash
-from pairlab.operators.ranking import BUCKET_BITS, hash_bucket, rank_rows, take_first
+from pairlab.operators.ranking import BUCKET_BITS, first_by_number, hash_bucket, rank_rows
 from pairlab.session import materialise
 
 PAIR = ("left_id", "right_id")
@@ -24,10 +24,10 @@ def entity_universe(pairs: DataFrame) -> DataFrame:
     return sides.unpivot([], ["left", "right"], "side", "id").distinct()
 
 
-def index_entities(pairs: DataFrame, seed=0, bucketed: bool | None = None) -> DataFrame:
+def index_entities(pairs: DataFrame, seed=0) -> DataFrame:
     """(side, id, idx): a dense number 0.. per side, in hash order."""
     hashed = entity_universe(pairs).withColumn("_h", stable_hash(seed, "id"))
-    ranked = rank_rows(hashed, ["_h", "id"], hash_bucket("_h"), by=["side"], rank="idx", bucketed=bucketed)
+    ranked = rank_rows(hashed, ["_h", "id"], hash_bucket("_h"), by=["side"], rank="idx")
     return ranked.select("side", "id", (F.col("idx") - 1).alias("idx"))
 
 
@@ -173,7 +173,7 @@ def negative_pairs(
     draws = random_pairs(entities, attempts, seed, (n_left, n_right))
     accepted = accepted_draws(draws, ids)
     width = max(1, -(-attempts // (1 << BUCKET_BITS)))
-    taken = take_first(accepted, "attempt", wanted, width)
+    taken = first_by_number(accepted, "attempt", wanted, width)
     return taken.select(*PAIR, "attempt") if with_attempt else taken.select(*PAIR)
 
 

@@ -14,7 +14,7 @@ def labelled(spark, n=203):
 def test_each_row_in_one_fold_whatever_the_partitioning(spark):
     df = labelled(spark)
     a = sorted(folds.assign_folds(df, 5, 42).collect())
-    b = sorted(folds.assign_folds(df.repartition(11), 5, 42, bucketed=True).collect())
+    b = sorted(folds.assign_folds(df.repartition(11), 5, 42, bits=4).collect())
     assert a == b and len(a) == 203
     sizes = [sum(r.fold == f for r in a) for f in range(5)]
     assert sizes == [41, 41, 41, 40, 40]
