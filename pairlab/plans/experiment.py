@@ -17,6 +17,7 @@ from pairlab.operators.features import join_sides, side_table
 from pairlab.operators.folds import assign_folds, fold_summary, label_union, train_part, val_part
 from pairlab.operators.metrics import cv_summary, evaluate
 from pairlab.operators.sampling import negative_pairs
+from pairlab.plans import joint
 from pairlab.plans.modelling import concat_side, fit_fold, fuse_side, principal_plane, score
 from pairlab.session import materialise
 
@@ -147,40 +148,100 @@ def _run_fold(split: DataFrame, left: DataFrame, right: DataFrame, fold: int, cf
     return score(model, val_part(rows, fold))
 
 
-def cross_validate(split: DataFrame, tables: Tables, cfg: ExperimentConfig) -> CrossValidation:
-    """Fit and score every fold, then evaluate and summarise.
+LINEAR_PARAMS = {"maxIter": "most", "regParam": "penalty", "tol": "tol"}
 
-    The split, the entity tables and the held-out scores are stored once; every
-    fold reads the first two and all metrics are read from the scores.
-    """
-    split = materialise(split, "split")
-    left, right = side_entities(tables, "left", cfg), side_entities(tables, "right", cfg)
-    weights = None
-    if cfg.loss == "weighted_ce":
-        fixed = cfg.class_weights
-        weights = {f: fixed for f in range(cfg.n_folds)} if fixed else training_class_weights(split)
 
-    def run(fold: int) -> DataFrame:
-        return _run_fold(split, left, right, fold, cfg, weights and weights[fold])
+def _fits_jointly(cfg: ExperimentConfig) -> bool:
+    return cfg.classifier == "logistic" and set(cfg.classifier_params) <= set(LINEAR_PARAMS)
+
 
-    parts = _on_folds(split.sparkSession, run, cfg)
-    predictions = materialise(reduce(DataFrame.unionByName, parts), "predictions")
+def _run_weights(split: DataFrame, cfg: ExperimentConfig) -> dict[int, tuple[float, float]] | None:
+    if cfg.loss != "weighted_ce":
+        return None
+    return {f: cfg.class_weights for f in range(cfg.n_folds)} if cfg.class_weights else training_class_weights(split)
+
+
+def joint_runs(split: DataFrame, tables: Tables, cfgs: dict[str, ExperimentConfig]) -> tuple[tuple, list, list]:
+    """Both sides, all folds' runs of every named configuration, and their fitted coefficients.
+
+    The configurations may differ in their switches only.  The number of jobs
+    depends on the steps of the slowest run, not on folds, sides, modalities
+    or configurations.
+    """
+    first = next(iter(cfgs.values()))
+    union = replace(first, enabled=tuple({s for cfg in cfgs.values() for s in cfg.enabled}))
+    sides = tuple(joint.build_side(side, enabled_side(tables, side, union), split, first.missing) for side in ("left", "right"))
+    dim = first.common_dim if first.fusion == "pooled" else None
+    groups = tuple(joint.group_moments(side, dim) for side in sides)
+    counts = {r["fold"]: (r["train_neg"], r["train_pos"]) for r in fold_summary(split).collect()}
+    weights = _run_weights(split, first)
+    runs = []
+    for name, cfg in cfgs.items():
+        chosen = [[m for m in with_structure(enabled_side(tables, s.name, cfg)) if m in s.spans] for s in sides]
+        for fold in range(cfg.n_folds):
+            maps = [joint.fused_map(s, ms, g, fold, cfg.fusion, cfg.common_dim) for s, ms, g in zip(sides, chosen, groups, strict=True)]
+            needs = [s.bits(ms) for s, ms in zip(sides, chosen, strict=True)]
+            runs.append(joint.Run(name, fold, *maps, *needs, weights[fold] if weights else (1.0, 1.0)))
+    pairs = joint.build_pairs(split, *sides)
+    params = {LINEAR_PARAMS[k]: v for k, v in first.classifier_params.items()}
+    return sides, runs, joint.fit_runs(pairs, runs, groups, counts, **params)
+
+
+def _evaluated(predictions: DataFrame, weights, cfg: ExperimentConfig, by: str = "fold") -> DataFrame:
     params = {
         "focal": {"alpha": cfg.focal_alpha, "gamma": cfg.focal_gamma},
         "label_smoothing": {"eps": cfg.label_smoothing},
     }.get(cfg.loss, {})
-    metrics = evaluate(predictions, "fold", loss=cfg.loss, weights=weights, **params)
+    return evaluate(predictions, by, loss=cfg.loss, weights=weights, **params)
+
+
+def cross_validate(split: DataFrame, tables: Tables, cfg: ExperimentConfig) -> CrossValidation:
+    """Fit and score every fold, then evaluate and summarise.
+
+    Logistic models of all folds are fitted together (see ``joint_runs``); the
+    network and the trees are fitted fold by fold.  The split and the held-out
+    scores are stored once and all metrics are read from the scores.
+    """
+    split = materialise(split, "split")
+    if _fits_jointly(cfg):
+        sides, runs, points = joint_runs(split, tables, {"all": cfg})
+        scored = joint.score_runs(split, sides, runs, points, cfg.missing).drop("run")
+        weights = {r.fold: r.weights for r in runs} if cfg.loss == "weighted_ce" else None
+    else:
+        left, right = side_entities(tables, "left", cfg), side_entities(tables, "right", cfg)
+        weights = _run_weights(split, cfg)
+
+        def run(fold: int) -> DataFrame:
+            return _run_fold(split, left, right, fold, cfg, weights and weights[fold])
+
+        scored = reduce(DataFrame.unionByName, _on_folds(split.sparkSession, run, cfg))
+    predictions = materialise(scored, "predictions")
+    metrics = _evaluated(predictions, weights, cfg)
     return CrossValidation(predictions, metrics, cv_summary(metrics))
 
 
 def ablation(split: DataFrame, tables: Tables, cfg: ExperimentConfig, subsets: Sequence[Sequence[str]]) -> DataFrame:
-    """Fold metrics of a run per switch subset, with a ``modalities`` column."""
+    """Fold metrics of a run per switch subset, with a ``modalities`` column.
+
+    Logistic models of all folds and all subsets are fitted in the same jobs,
+    scored in one pass and evaluated together.
+    """
     split = materialise(split, "split")
-    parts = []
-    for subset in subsets:
-        run = cross_validate(split, tables, replace(cfg, enabled=tuple(subset)))
-        parts.append(run.metrics.withColumn("modalities", F.lit("+".join(subset))))
-    return reduce(DataFrame.unionByName, parts)
+    cfgs = {"+".join(subset): replace(cfg, enabled=tuple(subset)) for subset in subsets}
+    if not _fits_jointly(cfg):
+        parts = [cross_validate(split, tables, c).metrics.withColumn("modalities", F.lit(name)) for name, c in cfgs.items()]
+        return reduce(DataFrame.unionByName, parts)
+    sides, runs, points = joint_runs(split, tables, cfgs)
+    scored = joint.score_runs(split, sides, runs, points, cfg.missing)
+    number = {name: i for i, name in enumerate(cfgs)}
+    # folds of all subsets side by side: subset i has folds i * n_folds ..
+    place = F.create_map(*[F.lit(v) for kv in number.items() for v in kv])[F.col("run")] * cfg.n_folds + F.col("fold")
+    predictions = materialise(scored.withColumn("fold", place.cast("int")), "predictions")
+    weights = {number[r.name] * cfg.n_folds + r.fold: r.weights for r in runs} if cfg.loss == "weighted_ce" else None
+    metrics = _evaluated(predictions, weights, cfg)
+    names = F.array(*[F.lit(n) for n in cfgs])
+    named = metrics.withColumn("modalities", F.get(names, F.expr(f"cast(fold div {cfg.n_folds} as int)")))
+    return named.withColumn("fold", F.expr(f"cast(fold % {cfg.n_folds} as int)"))
 
 
 def projection_2d(
