@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
@@ -18,7 +19,7 @@ from pairlab.operators.folds import assign_folds, fold_summary, label_union, tra
 from pairlab.operators.metrics import cv_summary, evaluate
 from pairlab.operators.sampling import negative_pairs
 from pairlab.plans import joint
-from pairlab.plans.modelling import concat_side, fit_fold, fuse_side, principal_plane, score
+from pairlab.plans.modelling import concat_side, fit_fold, fuse_side, score
 from pairlab.session import materialise
 
 Tables = dict[tuple[str, str], DataFrame]
@@ -26,7 +27,7 @@ Tables = dict[tuple[str, str], DataFrame]
 # view -> modalities of the left side, modalities of the right side
 VIEWS = {
     "sequence": (("seq",), ("seq",)),
-    "structure": (("struct",), ("graph", "ecfp")),
+    "structure": (("struct",), ("struct",)),
     "disease": (("disease",), ("disease",)),
 }
 
@@ -60,13 +61,17 @@ def enabled_side(tables: Tables, side: str, cfg: ExperimentConfig) -> dict[str,
     return {k[1]: tables[k] for k in mine if k not in MODALITIES or MODALITIES[k][0] in cfg.enabled}
 
 
-def with_structure(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Graph and fingerprint tables of a side joined into one modality."""
+def with_structure(tables: dict[str, DataFrame], missing: str = "drop") -> dict[str, DataFrame]:
+    """Graph and fingerprint tables of a side joined into one modality; under 'zeros' an absent one is zeros."""
     if not {"graph", "ecfp"} <= set(tables):
         return tables
     both = tables["graph"].select("id", F.col("features").alias("_g")).join(
-        tables["ecfp"].select("id", F.col("features").alias("_f")), "id"
+        tables["ecfp"].select("id", F.col("features").alias("_f")), "id", "full" if missing == "zeros" else "inner"
     )
+    if missing == "zeros":
+        widths = _modality_widths(both, "id")
+        zeros = {c: F.array_repeat(F.lit(0.0).cast("float"), w or 0) for c, w in widths.items()}
+        both = both.select("id", *[F.coalesce(F.col(c).cast("array<float>"), z).alias(c) for c, z in zeros.items()])
     merged = both.select("id", concat_vectors("_g", "_f").alias("features"))
     return {("struct" if k == "graph" else k): (merged if k == "graph" else t) for k, t in tables.items() if k != "ecfp"}
 
@@ -83,7 +88,7 @@ def side_entities(tables: Tables, side: str, cfg: ExperimentConfig) -> DataFrame
     only complete entities are kept, and their pairs decide what a gap means.
     """
     key = f"{side}_id"
-    enabled = with_structure(enabled_side(tables, side, cfg))
+    enabled = with_structure(enabled_side(tables, side, cfg), cfg.missing)
     entities = materialise(side_table(enabled, key, side), f"{side}-entities")
     if cfg.missing != "zeros":
         return entities.dropna()
@@ -119,12 +124,50 @@ def _on_folds(spark, run, cfg: ExperimentConfig) -> list:
         return pool.map(target(run), range(cfg.n_folds))
 
 
+def _sides_and_moments(split: DataFrame, tables: Tables, cfg: ExperimentConfig) -> tuple[tuple, tuple]:
+    """Both sides of all enabled modalities and their moments per group of folds."""
+    sides = tuple(joint.build_side(side, enabled_side(tables, side, cfg), split, cfg.missing) for side in ("left", "right"))
+    return sides, tuple(joint.group_moments(side, cfg.common_dim) for side in sides)
+
+
+def modality_features(split: DataFrame, tables: Tables, cfg: ExperimentConfig) -> DataFrame:
+    """Per held-out pair the vector of every modality of both sides, projected as the pair's fold sees it.
+
+    Adds ``left_<modality>`` and ``right_<modality>`` columns of ``common_dim``
+    numbers.  Vectors are projected once per entity and fold it occurs in;
+    statistics of all folds come from one pass per side.
+    """
+    split = materialise(split, "split")
+    sides, groups = _sides_and_moments(split, tables, cfg)
+    vectors = []
+    for side, of_side in zip(sides, groups, strict=True):
+        maps = {
+            f"{side.name}_{m}": {
+                f: joint.modality_map(side, m, joint.training_moments(of_side, m, f), cfg.common_dim) for f in range(cfg.n_folds)
+            }
+            for m in side.spans
+        }
+        vectors.append(joint.fold_vectors(side, maps, side.bits(list(side.spans))))
+    return joint.pairs_with_vectors(split, *vectors, cfg.missing)
+
+
 def fused_features(split: DataFrame, tables: Tables, cfg: ExperimentConfig) -> DataFrame:
-    """Per held-out pair the fused vector of either side, for export."""
+    """Per held-out pair the fused vector of either side, for export: pooled, or the raw vectors end to end."""
     split = materialise(split, "split")
-    left, right = side_entities(tables, "left", cfg), side_entities(tables, "right", cfg)
-    run = lambda fold: val_part(fold_features(split, left, right, fold, cfg), fold)
-    return reduce(DataFrame.unionByName, _on_folds(split.sparkSession, run, cfg))
+    if cfg.fusion == "pooled":
+        sides, groups = _sides_and_moments(split, tables, cfg)
+    else:
+        sides = tuple(joint.build_side(side, enabled_side(tables, side, cfg), split, cfg.missing) for side in ("left", "right"))
+    vectors = []
+    for i, side in enumerate(sides):
+        names = list(side.spans)
+        if cfg.fusion == "pooled":
+            maps = {f: joint.fused_map(side, names, groups[i], f, cfg.fusion, cfg.common_dim) for f in range(cfg.n_folds)}
+            vectors.append(joint.fold_vectors(side, {f"{side.name}_fused": maps}, side.bits(names)))
+        else:
+            whole = side.entities.where(F.col("have") == side.bits(names))
+            vectors.append(whole.select(side.key, F.explode("folds").alias("fold"), F.col("x").alias(f"{side.name}_fused")))
+    return joint.pairs_with_vectors(split, *vectors, cfg.missing)
 
 
 def training_class_weights(split: DataFrame) -> dict[int, tuple[float, float]]:
@@ -148,6 +191,12 @@ def _run_fold(split: DataFrame, left: DataFrame, right: DataFrame, fold: int, cf
     return score(model, val_part(rows, fold))
 
 
+def _merged_names(tables: dict[str, DataFrame]) -> list[str]:
+    """Modality names once graph and fingerprint are one."""
+    both = {"graph", "ecfp"} <= set(tables)
+    return list(dict.fromkeys("struct" if both and m in ("graph", "ecfp") else m for m in tables))
+
+
 LINEAR_PARAMS = {"maxIter": "most", "regParam": "penalty", "tol": "tol"}
 
 
@@ -177,7 +226,7 @@ def joint_runs(split: DataFrame, tables: Tables, cfgs: dict[str, ExperimentConfi
     weights = _run_weights(split, first)
     runs = []
     for name, cfg in cfgs.items():
-        chosen = [[m for m in with_structure(enabled_side(tables, s.name, cfg)) if m in s.spans] for s in sides]
+        chosen = [_merged_names(enabled_side(tables, s.name, cfg)) for s in sides]
         for fold in range(cfg.n_folds):
             maps = [joint.fused_map(s, ms, g, fold, cfg.fusion, cfg.common_dim) for s, ms, g in zip(sides, chosen, groups, strict=True)]
             needs = [s.bits(ms) for s, ms in zip(sides, chosen, strict=True)]
@@ -245,28 +294,35 @@ def ablation(split: DataFrame, tables: Tables, cfg: ExperimentConfig, subsets: S
 
 
 def projection_2d(
-    assembled: DataFrame,
-    fused: DataFrame | None = None,
+    split: DataFrame,
+    tables: Tables,
+    cfg: ExperimentConfig,
     views: dict[str, tuple[Sequence[str], Sequence[str]]] | None = None,
 ) -> DataFrame:
-    """(view, fold, left_id, right_id, x, y, label): a plane of each view of the pairs.
+    """(view, fold, left_id, right_id, x, y, label): a plane of each view of every fold's held-out pairs.
 
-    A view exists only if all its modality columns are there on both sides.
-    ``fused`` adds the view of the fused vectors.
+    The vectors are projected as the fold sees them; the plane is that of the
+    first two principal components of the fold's pairs, not centred.  A view
+    exists only if both sides have its modalities; ``fused`` is the view of
+    the pooled vectors.  All views and folds share three passes.
     """
-    assembled = materialise(assembled, "assembled")
-    parts = []
-    sources = []
-    for view, (left, right) in (views or VIEWS).items():
-        cols = [f"left_{m}" for m in left] + [f"right_{m}" for m in right]
-        if set(cols) <= set(assembled.columns):
-            sources.append((view, assembled, cols))
-    if fused is not None:
-        sources.append(("fused", fused, ["left_fused", "right_fused"]))
-    for view, df, cols in sources:
-        vector = concat_vectors(*[F.col(c).cast("array<double>") for c in cols])
-        plane = principal_plane(df.select("left_id", "right_id", "fold", "label", vector.alias("_a")), "_a")
-        parts.append(plane.select(F.lit(view).alias("view"), "fold", "left_id", "right_id", "x", "y", "label"))
-    if not parts:
+    split = materialise(split, "split")
+    sides, groups = _sides_and_moments(split, tables, cfg)
+    chosen = {v: both for v, both in (views or VIEWS).items() if all(set(ms) <= set(s.spans) for s, ms in zip(sides, both, strict=True))}
+    if not chosen:
         raise ValueError("no view has vectors on both sides")
-    return reduce(DataFrame.unionByName, parts)
+    planes = []
+    for name, both in [*chosen.items(), ("fused", tuple(list(s.spans) for s in sides))]:
+        needs = [s.bits(ms) for s, ms in zip(sides, both, strict=True)]
+        for fold in range(cfg.n_folds):
+            maps = []
+            for side, ms, of_side in zip(sides, both, groups, strict=True):
+                if name == "fused":
+                    maps.append(joint.fused_map(side, ms, of_side, fold, "pooled", cfg.common_dim))
+                    continue
+                parts = [joint.modality_map(side, m, joint.training_moments(of_side, m, fold), cfg.common_dim) for m in ms]
+                maps.append(joint.LinearMap(np.vstack([p.matrix for p in parts]), np.concatenate([p.offset for p in parts])))
+            planes.append(joint.View(name, fold, *maps, *needs))
+    pairs = joint.build_pairs(split, *sides)
+    axes = [joint.plane_axes(*m) for m in joint.view_moments(pairs, planes)]
+    return joint.plane_coordinates(split, sides, planes, axes, cfg.missing)

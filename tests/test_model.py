@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pairlab.config import ExperimentConfig
 from pairlab.functions.vectors import concat_vectors
-from pairlab.operators import folds, metrics
+from pairlab.operators import blocks, folds, metrics
 from pairlab.plans import experiment, modelling
 
 
@@ -89,14 +89,91 @@ def test_projection_is_fitted_on_the_given_rows_only(spark):
 
 def test_views_exist_only_with_both_sides(spark):
     split, tables = world(spark, 10, 5)
-    left = {m: t for (s, m), t in tables.items() if s == "left"}
-    right = {m: t for (s, m), t in tables.items() if s == "right"}
-    from pairlab.operators.features import assemble_pairs
-
-    fused = experiment.fused_features(split, tables, CFG)
-    assert fused.count() == 50
-    out = experiment.projection_2d(assemble_pairs(split, left, right), fused)
+    assert experiment.fused_features(split, tables, CFG).count() == 50
+    out = experiment.projection_2d(split, tables, CFG)
     assert {r.view: r["count"] for r in out.groupBy("view").count().collect()} == {"sequence": 50, "structure": 50, "fused": 50}
+    with pytest.raises(ValueError, match="no view"):
+        experiment.projection_2d(split, {k: t for k, t in tables.items() if k[1] != "struct" or k[0] == "right"}, CFG, {"structure": (("struct",), ("struct",))})
+
+
+def arrays(spark, split, tables, side, fold, modality):
+    """A side's vectors of one modality by id, standardised over the training entities of a fold."""
+    vectors = {r.id: np.array(r.features, float) for r in tables[side, modality].collect()}
+    train = sorted({r[f"{side}_id"] for r in split.filter(F.col("fold") != fold).collect()})
+    x = np.array([vectors[i] for i in train])
+    return {i: (v - x.mean(0)) / x.std(0, ddof=1) for i, v in vectors.items()}, train
+
+
+def test_modality_features_and_planes_equal_plain_ones(spark):
+    split, tables = world(spark, 12, 6)
+    cfg = ExperimentConfig(n_folds=3, common_dim=2, enabled=("left_seq", "right_seq"))
+    got = {(r.left_id, r.right_id): r for r in experiment.modality_features(split, tables, cfg).collect()}
+    planes = {(r.left_id, r.right_id, r.view): (r.x, r.y) for r in experiment.projection_2d(split, tables, cfg).collect()}
+    for fold in range(3):
+        left, train = arrays(spark, split, tables, "left", fold, "seq")
+        right, _ = arrays(spark, split, tables, "right", fold, "seq")
+        _, axes = np.linalg.eigh(np.cov(np.array([left[i] for i in train]).T))
+        axes = axes[:, ::-1][:, :2]
+        axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), [0, 1]] < 0, -1, 1)
+        rows = split.filter(F.col("fold") == fold).collect()
+        z = np.array([np.concatenate([left[r.left_id] @ axes, right[r.right_id]]) for r in rows])
+        for r, v in zip(rows, z, strict=True):
+            mine = got[r.left_id, r.right_id]
+            assert np.concatenate([mine.left_seq, mine.right_seq]) == pytest.approx(v, abs=1e-9)
+        _, plane = np.linalg.eigh(np.cov(z.T))
+        want = z @ plane[:, ::-1][:, :2]
+        for r, v in zip(rows, want, strict=True):
+            assert np.abs(planes[r.left_id, r.right_id, "sequence"]) == pytest.approx(np.abs(v), abs=1e-8)
+
+
+def test_joint_fit_equals_a_plain_newton_search(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "MOST_PLACES", 4)
+    split, tables = world(spark)
+    cfg = ExperimentConfig(n_folds=3, common_dim=3, fusion="pooled", classifier_params={"tol": 1e-10, "maxIter": 200, "regParam": 1e-3})
+    run = experiment.cross_validate(split, {k: t for k, t in tables.items() if k[1] == "seq"}, cfg)
+    got = {(r.left_id, r.right_id): r.score for r in run.predictions.collect()}
+    for fold in range(3):
+        sides = []
+        for side in ("left", "right"):
+            z, train = arrays(spark, split, tables, side, fold, "seq")
+            x = np.array([z[i] for i in train])
+            if x.shape[1] > 3:
+                _, axes = np.linalg.eigh(np.cov(x.T))
+                z = {i: v @ axes[:, ::-1][:, :3] for i, v in z.items()}
+            sides.append(z)
+        rows = split.collect()
+        x = np.array([np.concatenate([sides[0][r.left_id], sides[1][r.right_id], [1.0]]) for r in rows])
+        y, train = np.array([r.label for r in rows]), np.array([r.fold != fold for r in rows])
+        w, ridge = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, 1e-3), 0)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-x[train] @ w))
+            hess = (x[train] * (p * (1 - p))[:, None]).T @ x[train] / train.sum() + np.diag(ridge)
+            w = w - np.linalg.solve(hess, x[train].T @ (p - y[train]) / train.sum() + ridge * w)
+        for r, s in zip(rows, 1 / (1 + np.exp(-x @ w)), strict=True):
+            if r.fold == fold:
+                assert got[r.left_id, r.right_id] == pytest.approx(s, abs=1e-6)
+
+
+def jobs_of(spark, action):
+    tracker = spark.sparkContext.statusTracker()
+    group = f"count-{id(action)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    action()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(tracker.getJobIdsForGroup(group))
+
+
+def test_jobs_do_not_grow_with_folds_or_modalities(spark):
+    rng = np.random.default_rng(5)
+    pairs = spark.createDataFrame([(f"l{i}", f"r{j}", int(rng.integers(0, 2))) for i in range(20) for j in range(6)], "left_id string, right_id string, label int")
+    # vectors without information: every run stops after the same single step
+    tables = {(s, m): spark.createDataFrame([(f"{s[0]}{i}", [1.0, 2.0]) for i in range(20)], "id string, features array<float>") for s in ("left", "right") for m in ("seq", "disease")}
+    counts = []
+    for k, names in ((2, ("left_seq", "right_seq")), (5, ("left_seq", "right_seq")), (5, tuple(f"{s}_{m}" for s in ("left", "right") for m in ("seq", "disease")))):
+        split = experiment.materialise(folds.assign_folds(pairs, k, 1), "split")
+        cfg = ExperimentConfig(n_folds=k, common_dim=2, enabled=names)
+        counts.append(jobs_of(spark, lambda: experiment.joint_runs(split, tables, {"a": cfg, "b": cfg})))
+    assert max(counts) - min(counts) <= 4 and counts[1] <= counts[0] + 2, counts  # the planner may add or merge a stage
 
 
 def test_ablation_has_rows_per_subset(spark):
