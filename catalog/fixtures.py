@@ -62,6 +62,10 @@ def left_price(spark: SparkSession, sf: str) -> DataFrame:
     return as_features(table(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_partkey")
 
 
+def left_size(spark: SparkSession, sf: str) -> DataFrame:
+    return as_features(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
+
+
 def left_embedding(spark: SparkSession, sf: str) -> DataFrame:
     """A modality that covers only some of the left entities."""
     return as_features(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
@@ -109,6 +113,38 @@ def modalities(spark: SparkSession, sf: str) -> dict[tuple[str, str], DataFrame]
     }
 
 
+def numbers(spark: SparkSession, sf: str) -> dict[tuple[str, str], DataFrame]:
+    """Two modalities of one number each per side."""
+    return {
+        ("left", "seq"): left_price(spark, sf),
+        ("left", "struct"): left_size(spark, sf),
+        ("right", "seq"): right_balance(spark, sf),
+        ("right", "graph"): right_place(spark, sf),
+    }
+
+
+def brand_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every supplied pair, labelled 1 if the part's brand is one of the first two makers'."""
+    brands = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("left_id"), F.col("p_brand"))
+    label = F.substring("p_brand", 7, 1).isin("1", "2").cast("int")
+    return positives(spark, sf).join(brands, "left_id").select("left_id", "right_id", label.alias("label"))
+
+
+def left_brand(spark: SparkSession, sf: str) -> DataFrame:
+    """The maker's digit of a part's brand as five places, 1 in one of them."""
+    digits = [(F.substring("p_brand", 7, 1) == str(d)).cast("float").alias(f"maker_{d}") for d in range(1, 6)]
+    return as_features(table(spark, sf, "part").select("p_partkey", *digits), "p_partkey")
+
+
+def flat(spark: SparkSession, sf: str) -> dict[tuple[str, str], DataFrame]:
+    """Modalities whose every vector is the same."""
+    same = F.lit(7.25).alias("same")
+    return {
+        ("left", "seq"): as_features(table(spark, sf, "part").select("p_partkey", same), "p_partkey"),
+        ("right", "seq"): as_features(table(spark, sf, "supplier").select("s_suppkey", same), "s_suppkey"),
+    }
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Every line as a scored pair: fold, label, score in (0, 1)."""
     price = F.col("l_extendedprice")

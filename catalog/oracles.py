@@ -318,9 +318,9 @@ def pooled(names: list[str], weights: list[float]) -> str:
 
 POOL_WEIGHTS = [0.2, 1.0, 0.5]
 
-SPLIT_STRONG = f"""
-    known as (select distinct left_id, right_id from strong),
-    {negatives('strong', 42, '(select count(*) from known)')},
+SPLIT_SAMPLED = f"""
+    known as (select distinct left_id, right_id from pairs),
+    {negatives('pairs', 42, '(select count(*) from known)')},
     labelled as (
         select left_id, right_id, 1 as label from known union all select left_id, right_id, 0 from negatives
     ),
@@ -330,6 +330,78 @@ SPLIT_STRONG = f"""
         from labelled
     )"""
 
+BRANDED = f"""{PAIRS},
+    labelled as (
+        select left_id, right_id, cast(substr(p_brand, 7, 1) in ('1', '2') as integer) as label
+        from positives join part on cast(p_partkey as varchar) = left_id
+    ),
+    split as (
+        select left_id, right_id, label, cast(ntile(5) over (
+            order by {h60("'42'", 'left_id', 'right_id', 'label')}, left_id, right_id, label) - 1 as integer) as fold
+        from labelled
+    )"""
+
+
+def fold_numbers(k: int) -> str:
+    """z: every pair in every run, its numbers standardised over the entities of the run's training pairs."""
+    return f"""
+    left_raw as (
+        select cast(p_partkey as varchar) as left_id, cast(cast(p_retailprice as float) as double) as price,
+               cast(p_size as double) as size from part
+    ),
+    right_raw as (
+        select cast(s_suppkey as varchar) as right_id, cast(cast(s_acctbal as float) as double) as balance,
+               cast(s_nationkey as double) as place from supplier
+    ),
+    runs as (select cast(unnest(range({k})) as integer) as run),
+    left_stats as (
+        select run, avg(price) as m0, stddev_samp(price) as s0, avg(size) as m1, stddev_samp(size) as s1
+        from (select distinct run, left_id from split join runs on fold <> run) join left_raw using (left_id) group by run
+    ),
+    right_stats as (
+        select run, avg(balance) as n0, stddev_samp(balance) as t0, avg(place) as n1, stddev_samp(place) as t1
+        from (select distinct run, right_id from split join runs on fold <> run) join right_raw using (right_id) group by run
+    ),
+    z as materialized (
+        select run, left_id, right_id, label, fold, (price - m0) / s0 as l0, (size - m1) / s1 as l1,
+               (balance - n0) / t0 as r0, (place - n1) / t1 as r1
+        from split join left_raw using (left_id) join right_raw using (right_id) cross join runs
+        join left_stats using (run) join right_stats using (run)
+    )"""
+
+
+def logistic(a: str, b: str, weight: str = "1.0", steps: int = 8, ridge: float = 1e-4) -> str:
+    """scored: held-out scores of a penalised logistic model of two numbers per run, by Newton steps."""
+    chain = [
+        f"""rows_ as materialized (select run, cast(label as double) as y, {a} as a, {b} as b, cast({weight} as double) as k from z where fold <> run),
+    w0 as (select run, cast(0 as double) as u, cast(0 as double) as v, ln(sum(k * y) / sum(k * (1 - y))) as c from rows_ group by run)"""
+    ]
+    for i in range(steps):
+        chain.append(f"""
+    d{i} as (
+        select run, u, v, c, sum(e * a) / sum(k) + {ridge} * u as g0, sum(e * b) / sum(k) + {ridge} * v as g1, sum(e) / sum(k) as g2,
+               sum(q * a * a) / sum(k) + {ridge} as h00, sum(q * a * b) / sum(k) as h01, sum(q * a) / sum(k) as h02,
+               sum(q * b * b) / sum(k) + {ridge} as h11, sum(q * b) / sum(k) as h12, sum(q) / sum(k) as h22
+        from (
+            select *, k * (p - y) as e, k * p * (1 - p) as q
+            from (select *, 1 / (1 + exp(-(u * a + v * b + c))) as p from rows_ join w{i} using (run))
+        ) group by run, u, v, c
+    ),
+    w{i + 1} as materialized (
+        select run, u - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det as u,
+               v - (h00 * (g1 * h22 - g2 * h12) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det as v,
+               c - (h00 * (h11 * g2 - h12 * g1) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det as c
+        from (
+            select *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) as det from d{i}
+        )
+    )""")
+    return ",".join(chain) + f""",
+    scored as materialized (
+        select left_id, right_id, label, fold, 1 / (1 + exp(-(u * {a} + v * {b} + c))) as score
+        from z join w{steps} using (run) where run = fold
+    )"""
+
+
 SQL = {
     "normalise_ids": f"""
         select l_orderkey, l_linenumber,
@@ -345,7 +417,12 @@ SQL = {
     "read_features_vector": """
         select cast(doc_id as varchar) as id, cast(quality as float) as dim_0, cast(toxic as float) as dim_1 from labels""",
     "load_modalities": """
-        select 'left' as side, 'seq' as modality, count(*) as entities, cast(sum(quality) as bigint) as total from labels""",
+        select 'left' as side, 'seq' as modality, count(*) as entities, cast(2 as bigint) as width, round(cast(sum(quality + toxic) as double), 3) as total
+        from labels
+        union all
+        select 'left', 'struct', count(*), 64, round(sum(list_sum(cast(embedding as double[]))), 3) from embeddings
+        union all
+        select 'right', 'seq', count(*), 1, round(cast(sum(length(html)) as double), 3) from pages""",
     "keep_last_features": """
         select l_partkey, l_quantity, l_extendedprice from (
             select *, row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc,
@@ -387,7 +464,7 @@ SQL = {
         select left_id, right_id from negatives""",
     "negative_pairs_ratio2": f"""with {PAIRS}, {negatives('pairs', 42, '(select 2 * count(*) from positives)')}
         select left_id, right_id from negatives""",
-    "negative_pairs_repeats": f"""with {STRONG}, {negatives('strong', 7, '(select count(*) from strong)')}
+    "negative_pairs_repeats": f"""with {PAIRS}, {negatives('pairs', 7, '(select count(*) from pairs)')}
         select left_id, right_id, attempt from negatives""",
     "negative_shortfall": """
         select cast(0 as bigint) as found, count(*) as wanted,
@@ -432,11 +509,11 @@ SQL = {
         select cast(run as integer) as run, case when fold = run then 'val' else 'train' end as part, label,
                count(*) as n_rows, cast(sum(fold) as bigint) as fold_sum
         from split, range(5) r(run) group by 1, 2, 3""",
-    "prepare_splits": f"with {STRONG}, {SPLIT_STRONG} select left_id, right_id, label, fold from split",
-    "stored_splits": f"""with {STRONG}
+    "prepare_splits": f"with {PAIRS}, {SPLIT_SAMPLED} select left_id, right_id, label, fold from split",
+    "stored_splits": f"""with {PAIRS}
         select left_id, right_id, label, cast(ntile(5) over (
             order by {h60("'42'", 'left_id', 'right_id', 'label')}, left_id, right_id, label) - 1 as integer) as fold
-        from (select distinct left_id, right_id, 1 as label from strong)""",
+        from (select distinct left_id, right_id, 1 as label from pairs)""",
     "overlap_check": f"with {STRONG}, {WEAK} select * from strong intersect select * from weak",
     "fold_leak_check": f"""with {STRONG}, {WEAK},
         labelled as (
@@ -619,6 +696,66 @@ SQL = {
                {r6('cast(s_nationkey as double)', 'right_seq_dim_1')}, {r6('cast(cast(s_acctbal as float) as double)', 'right_graph_dim_0')},
                {r6('cast(s_nationkey as double)', 'right_ecfp_dim_0')}, cast(fold as bigint) as fold
         from split join supplier on cast(s_suppkey as varchar) = right_id""",
-    "cross_validate_predictions": f"""with {STRONG}, {SPLIT_STRONG.replace('ntile(5)', 'ntile(2)')}
-        select left_id, right_id, label, fold from split""",
+    "cross_validate": f"""with {PAIRS}, {SPLIT_SAMPLED}, {fold_numbers(5)}, {logistic('l0', 'r0')}, {METRIC_ROWS} {EVALUATED}""",
+    "cross_validate_summary": f"""with {SPLIT}, {fold_numbers(5)}, {logistic('l0', 'r0', weight='case when label = 1 then 3.0 else 1.0 end')}, {LONG}
+        select metric, {r6('avg(value)', 'mean')}, {r6('stddev_pop(value)', 'std')} from long group by metric""",
+    "cross_validate_predictions": f"""with {PAIRS}, {SPLIT_SAMPLED.replace('ntile(5)', 'ntile(2)')}, {fold_numbers(2)}, {logistic('l0', 'r0')}
+        select left_id, right_id, label, fold, round(score, 5) as score, cast(score > 0.5 as integer) as pred from scored""",
+    "cross_validate_separable": f"""with {BRANDED}
+        select fold, {', '.join(f'cast(1 as double) as {m}' for m in ('accuracy', 'auc_roc', 'pr_auc', 'f1', 'precision', 'recall'))},
+               count(*) filter (where label = 0) as tn, cast(0 as bigint) as fp, cast(0 as bigint) as fn, count(*) filter (where label = 1) as tp
+        from split group by fold""",
+    "cross_validate_constant": f"""with {SPLIT},
+        scored as (
+            select s.left_id, s.right_id, s.label, s.fold, share as score from split s
+            join (select run, avg(label) as share from split, (select unnest(range(5)) as run) where fold <> run group by run) on run = s.fold
+        ), {METRIC_ROWS} {EVALUATED}""",
+    "score_separable": f"""with {BRANDED}
+        select left_id, right_id, label, label as pred, label as sure from labelled""",
+    "ablation": " union all ".join(
+        f"""select * from (with {SPLIT.replace('ntile(5)', 'ntile(2)')}, {fold_numbers(2)}, {logistic(a, b)}, {METRIC_ROWS}
+        select '{name}' as modalities, fold, {', '.join(r6(c, c) for c in ('accuracy', 'auc_roc', 'pr_auc', 'f1', 'precision', 'recall', 'loss'))}
+        from evaluated)"""
+        for name, a, b in (("left_seq+right_seq", "l0", "r0"), ("left_struct+right_struct", "l1", "r1"))
+    ),
+    "modality_features": f"""with {SPLIT}, {fold_numbers(5)}
+        select left_id, right_id, fold, round(l0, 5) as left_seq, round(l1, 5) as left_struct, round(r0, 5) as right_seq,
+               round(r1, 5) as right_graph
+        from z where run = fold""",
+    "modality_features_reduced": f"""with {SPLIT}, {fold_numbers(5)},
+        signs as (
+            select run, sign(corr(price, size)) as s from (select distinct run, left_id from split join runs on fold <> run)
+            join left_raw using (left_id) group by run
+        )
+        select left_id, right_id, fold, round(abs(l0 + s * l1) / sqrt(2), 5) as component from z join signs using (run) where run = fold""",
+    "fused_features": f"""with {SPLIT}, {fold_numbers(5)}
+        select left_id, right_id, label, fold, round((l0 + l1) / 2, 5) as left_fused, round((r0 + r1) / 2, 5) as right_fused
+        from z where run = fold""",
+    "projection_2d": f"""with {SPLIT}, {fold_numbers(5)},
+        seen as (
+            select 'sequence' as view, fold, left_id, right_id, label, l0 as l, r0 as r from z where run = fold
+            union all select 'structure', fold, left_id, right_id, label, l1, r1 from z where run = fold
+            union all select 'fused', fold, left_id, right_id, label, (l0 + l1) / 2, (r0 + r1) / 2 from z where run = fold
+        ),
+        spread as (
+            select view, fold, var_samp(l) as a, var_samp(r) as b, covar_samp(l, r) as c from seen group by view, fold
+        ),
+        top as (select *, (a + b) / 2 + sqrt(((a - b) / 2) * ((a - b) / 2) + c * c) as high from spread),
+        raw as (select view, fold, case when a >= b then high - b else c end as u, case when a >= b then c else high - a end as v from top),
+        axes as (
+            select view, fold, u / sqrt(u * u + v * v) * case when abs(u) >= abs(v) then sign(u) else sign(v) end as u,
+                   v / sqrt(u * u + v * v) * case when abs(u) >= abs(v) then sign(u) else sign(v) end as v
+            from raw
+        ),
+        -- the second axis is (v, -u) with its larger loading positive
+        turned as (select *, case when abs(v) >= abs(u) then sign(v) else -sign(u) end as t from axes)
+        select view, fold, left_id, right_id, round(l * u + r * v, 4) as x, round(t * (l * v - r * u), 4) as y, label
+        from seen join turned using (view, fold)""",
+    "run_record": """
+        select n.name, 'miRNA-drug' as dataset, 'left_seq+right_seq' as modalities, cast(7 as integer) as n_folds,
+               cast(42 as integer) as seed, true as versions, n_rows
+        from (
+            select 'part' as name, count(*) as n_rows from part union all select 'supplier', count(*) from supplier
+            union all select 'lineitem', count(*) from lineitem
+        ) n""",
 }

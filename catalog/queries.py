@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
-from pairlab.config import SWITCHES, ExperimentConfig
+from pairlab.config import ExperimentConfig
 from pairlab.functions import ids, losses, scores, vectors
 from pairlab.operators import curves, features, folds, history, metrics, ranking, sampling
 from pairlab.plans import experiment, modelling
@@ -62,19 +64,32 @@ def read_features_vector(spark, sf):
 
 
 def load_modalities(spark, sf):
+    """Three tables with declared widths, a skipped one and one that is switched off."""
+    entry = lambda name, key, dim: {"path": f"{sf}/{name}.parquet", "id_col": key, "fmt": "parquet", "dim": dim}
     catalogue = {
         "modalities": {
-            ("left", "seq"): {"path": f"{sf}/labels.parquet", "id_col": "doc_id", "fmt": "parquet"},
-            ("right", "seq"): {"path": f"{sf}/absent.parquet", "id_col": "doc_id", "fmt": "parquet"},
+            ("left", "seq"): entry("labels", "doc_id", 2),
+            ("left", "struct"): entry("embeddings_only", "vec_id", 64),
+            ("right", "seq"): entry("pages_only", "page_id", 1),
+            ("right", "graph"): entry("absent", "doc_id", 5),
         }
     }
+    # tables of ids and numbers alone, written beside the given ones
+    numbers = fx.scratch(spark, "modalities")
+    fx.table(spark, sf, "embeddings").select("vec_id", "embedding").write.parquet(f"{numbers}/embeddings")
+    fx.table(spark, sf, "pages").select("page_id", F.length("html").alias("size")).write.parquet(f"{numbers}/pages")
+    catalogue["modalities"]["left", "struct"]["path"] = f"{numbers}/embeddings"
+    catalogue["modalities"]["right", "seq"]["path"] = f"{numbers}/pages"
     loaded = tables.load_modalities(spark, catalogue, list(catalogue["modalities"]), optional=True)
     parts = [
-        t.groupBy().agg(F.count(F.lit(1)).alias("entities"), F.sum(F.get("features", F.lit(0)).cast("bigint")).alias("total"))
-        .select(F.lit(side).alias("side"), F.lit(modality).alias("modality"), "entities", "total")
+        t.groupBy().agg(
+            F.count(F.lit(1)).alias("entities"),
+            F.max(F.size("features")).cast("bigint").alias("width"),
+            F.round(F.sum(vectors.vector_sum("features")), 3).alias("total"),
+        ).select(F.lit(side).alias("side"), F.lit(modality).alias("modality"), "entities", "width", "total")
         for (side, modality), t in loaded.items()
     ]
-    return parts[0]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def keep_last_features(spark, sf):
@@ -127,7 +142,7 @@ def negative_pairs_ratio2(spark, sf):
 
 def negative_pairs_repeats(spark, sf):
     """Repeated positives raise the number of negatives."""
-    return sampling.negative_pairs(fx.strong_pairs(spark, sf), 1, 7, dedupe=False, with_attempt=True)
+    return sampling.negative_pairs(fx.pairs(spark, sf), 1, 7, dedupe=False, with_attempt=True)
 
 
 def negative_shortfall(spark, sf):
@@ -205,15 +220,15 @@ def fold_views(spark, sf):
 
 def prepare_splits(spark, sf):
     """Sampling, labelling and folding in one go."""
-    return experiment.prepare_splits(fx.strong_pairs(spark, sf), ExperimentConfig())
+    return experiment.prepare_splits(fx.pairs(spark, sf), ExperimentConfig())
 
 
 def stored_splits(spark, sf):
     """A split written under its key and read back."""
-    strong = fx.strong_pairs(spark, sf)
+    known = fx.pairs(spark, sf)
     params = {"k": 5, "seed": 42, "ratio": 1}
     build = lambda p: folds.assign_folds(p.distinct().withColumn("label", F.lit(1)), 5, 42)
-    split = outputs.cached_splits(strong, fx.scratch(spark, "splits"), params, build)
+    split = outputs.cached_splits(known, fx.scratch(spark, "splits"), params, build)
     return split.select("left_id", "right_id", "label", "fold")
 
 
@@ -676,8 +691,8 @@ def all_folds_predictions(spark, sf):
     return back.select("left_id", "right_id", "true_label", r6("predicted_score"), "fold")
 
 
-def _split(spark, sf) -> DataFrame:
-    return folds.assign_folds(_labelled(spark, sf), 5, 42)
+def _split(spark, sf, k: int = 5) -> DataFrame:
+    return folds.assign_folds(_labelled(spark, sf), k, 42)
 
 
 def fused_features_concat(spark, sf):
@@ -706,45 +721,116 @@ def raw_features_export(spark, sf):
 
 
 def _run_config(**kw) -> ExperimentConfig:
-    base = {"common_dim": 8, "classifier_params": {"maxIter": 15}, "parallel_folds": 5}
+    base = {"common_dim": 1, "classifier_params": {"maxIter": 100, "tol": 1e-10}}
     return ExperimentConfig(**{**base, **kw})
 
 
+def _run(spark, sf, **kw) -> experiment.CrossValidation:
+    """Sample, split, fit and score one number per side."""
+    cfg = _run_config(enabled=("left_seq", "right_seq"), **kw)
+    split = experiment.prepare_splits(fx.pairs(spark, sf), cfg)
+    return experiment.cross_validate(split, fx.numbers(spark, sf), cfg)
+
+
 def cross_validate(spark, sf):
     """Sample, split, assemble, fit, score and evaluate: metrics per fold."""
-    cfg = _run_config()
-    split = experiment.prepare_splits(fx.strong_pairs(spark, sf), cfg)
-    return experiment.cross_validate(split, fx.modalities(spark, sf), cfg).metrics
+    return _evaluated(_run(spark, sf).metrics)
+
+
+def cross_validate_summary(spark, sf):
+    """Mean and deviation over the folds of a run with class weights."""
+    cfg = _run_config(enabled=("left_seq", "right_seq"), loss="weighted_ce", class_weights=(1.0, 3.0))
+    run = experiment.cross_validate(_split(spark, sf), fx.numbers(spark, sf), cfg)
+    return run.summary.select("metric", r6("mean"), r6("std"))
 
 
 def cross_validate_predictions(spark, sf):
-    """Held-out scores of every pair; labels must equal the split's."""
-    cfg = _run_config(fusion="concat", n_folds=2)
-    split = experiment.prepare_splits(fx.strong_pairs(spark, sf), cfg)
-    run = experiment.cross_validate(split, fx.modalities(spark, sf), cfg)
-    return run.predictions.select("left_id", "right_id", "label", "fold")
+    """Held-out scores of every pair of two folds."""
+    out = _run(spark, sf, n_folds=2).predictions
+    return out.select("left_id", "right_id", "label", "fold", F.round("score", 5).alias("score"), "pred")
+
+
+def cross_validate_separable(spark, sf):
+    """Seven modalities, one of which tells the label: every held-out pair is scored right."""
+    cfg = ExperimentConfig(fusion="concat", classifier_params={"maxIter": 60})
+    split = folds.assign_folds(fx.brand_pairs(spark, sf), 5, 42)
+    mods = {**fx.modalities(spark, sf), ("left", "seq"): fx.left_brand(spark, sf)}
+    found = experiment.cross_validate(split, mods, cfg).metrics
+    doubles = ("accuracy", "auc_roc", "pr_auc", "f1", "precision", "recall")
+    return found.select("fold", *[r6(c) for c in doubles], *[big(c) for c in ("tn", "fp", "fn", "tp")])
+
+
+def cross_validate_constant(spark, sf):
+    """Vectors that tell nothing: the score is the training share of positives."""
+    cfg = _run_config(enabled=("left_seq", "right_seq"))
+    return _evaluated(experiment.cross_validate(_split(spark, sf), fx.flat(spark, sf), cfg).metrics)
+
+
+def score_separable(spark, sf):
+    """A classifier fitted on the makers' places predicts the label of every pair."""
+    brands = fx.left_brand(spark, sf).select(F.col("id").alias("left_id"), "features")
+    rows = fx.brand_pairs(spark, sf).join(brands, "left_id")
+    model = modelling.fit_fold(rows, params={"maxIter": 20}, weighting=True)
+    return modelling.score(model, rows).select("left_id", "right_id", "label", "pred", (F.col("score") > 0.9).cast("int").alias("sure"))
 
 
 def ablation(spark, sf):
-    """Sequence modalities alone, then all."""
-    cfg = _run_config(n_folds=2, fusion="concat")
-    split = experiment.prepare_splits(fx.strong_pairs(spark, sf), cfg)
-    return experiment.ablation(split, fx.modalities(spark, sf), cfg, [("left_seq", "right_seq"), SWITCHES])
+    """Folds of two modality subsets, fitted together."""
+    cfg = _run_config(n_folds=2)
+    subsets = [("left_seq", "right_seq"), ("left_struct", "right_struct")]
+    out = experiment.ablation(_split(spark, sf, 2), fx.numbers(spark, sf), cfg, subsets)
+    doubles = ("accuracy", "auc_roc", "pr_auc", "f1", "precision", "recall", "loss")
+    return out.select("modalities", "fold", *[r6(c) for c in doubles])
 
 
-def projection_2d(spark, sf):
-    """Plane coordinates of every view of the pairs."""
-    mods = fx.modalities(spark, sf)
-    split = _split(spark, sf)
-    left = {m: t for (side, m), t in mods.items() if side == "left"}
-    right = {m: t for (side, m), t in mods.items() if side == "right"}
-    return experiment.projection_2d(features.assemble_pairs(split, left, right))
+def modality_features(spark, sf):
+    """Every held-out pair's standardised numbers as its fold sees them."""
+    rows = experiment.modality_features(_split(spark, sf), fx.numbers(spark, sf), _run_config())
+    names = ("left_seq", "left_struct", "right_seq", "right_graph")
+    return rows.select("left_id", "right_id", "fold", *[F.round(F.get(n, F.lit(0)), 5).alias(n) for n in names])
+
+
+def modality_features_reduced(spark, sf):
+    """Two numbers of a part on their first principal component, up to sign."""
+    mods = {("left", "seq"): fx.left_numbers(spark, sf), ("right", "seq"): fx.right_balance(spark, sf)}
+    rows = experiment.modality_features(_split(spark, sf), mods, _run_config())
+    assert set(rows.columns) >= {"left_seq", "right_seq"}
+    return rows.select("left_id", "right_id", "fold", F.round(F.abs(F.get("left_seq", F.lit(0))), 5).alias("component"))
 
 
 def fused_features(spark, sf):
     """Projected and pooled side vectors of every held-out pair."""
-    rows = experiment.fused_features(_split(spark, sf), fx.modalities(spark, sf), _run_config())
-    return rows.select("left_id", "right_id", "label", "fold", "left_fused", "right_fused")
+    rows = experiment.fused_features(_split(spark, sf), fx.numbers(spark, sf), _run_config())
+    names = ("left_fused", "right_fused")
+    return rows.select("left_id", "right_id", "label", "fold", *[F.round(F.get(n, F.lit(0)), 5).alias(n) for n in names])
+
+
+def projection_2d(spark, sf):
+    """Plane coordinates of every view of each fold's held-out pairs."""
+    views = {"sequence": (("seq",), ("seq",)), "structure": (("struct",), ("graph",))}
+    out = experiment.projection_2d(_split(spark, sf), fx.numbers(spark, sf), _run_config(), views)
+    return out.select("view", "fold", "left_id", "right_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "label")
+
+
+def run_record(spark, sf):
+    """What a run's record keeps of its parameters and data, with the rows of each table it names."""
+    cfg = ExperimentConfig(enabled=("left_seq", "right_seq"), n_folds=7)
+    paths = {name: f"{sf}/{name}.parquet" for name in ("part", "supplier", "lineitem")}
+    path = fx.scratch(spark, "runs")
+    outputs.append_run(outputs.run_record(spark, cfg, paths), path)
+    kept = spark.read.parquet(path)
+    named = kept.select(
+        "dataset", F.array_join("modalities", "+").alias("modalities"),
+        F.get_json_object("config", "$.n_folds").cast("int").alias("n_folds"),
+        F.get_json_object("config", "$.seed").cast("int").alias("seed"),
+        (F.length("spark_version") > 0).alias("versions"),
+        F.explode(F.from_json("data_paths", "map<string,string>")).alias("name", "path"),
+    )
+    counts = reduce(
+        DataFrame.unionByName,
+        [fx.table(spark, sf, n).groupBy().agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n_rows")) for n in paths],
+    )
+    return named.drop("path").join(counts, "name")
 
 
 QUERIES = {
@@ -765,6 +851,8 @@ QUERIES = {
         stored_results, roc_points, pr_points, roc_grid, pr_grid, roc_grid_ties, pr_grid_ties, mean_roc_curve,
         mean_pr_curve, curve_area, curve_summary, early_stop, early_stop_min, early_stop_long, early_stop_nan, best_epoch, score_linear, project_modality,
         predictions_simple, predictions_detail, all_folds_predictions, fused_features_concat, raw_features_export,
-        cross_validate, cross_validate_predictions, ablation, projection_2d, fused_features,
+        cross_validate, cross_validate_summary, cross_validate_predictions, cross_validate_separable,
+        cross_validate_constant, score_separable, ablation, modality_features, modality_features_reduced,
+        fused_features, projection_2d, run_record,
     )
 }
