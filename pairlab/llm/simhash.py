@@ -63,7 +63,7 @@ def fingerprint_bytes(text: bytes | None, width: int = 4) -> bytes:
 @F.arrow_udf(T.BinaryType())
 def _fingerprints(texts: pa.Array) -> pa.Array:
     worker_cache("none", dict)  # it remembers nothing, and no other operator's cache is needed now
-    return pa.array([fingerprint_bytes(t) for t in texts.to_pylist()], pa.binary())
+    return pa.array([fingerprint_bytes(t.as_py()) for t in texts], pa.binary())
 
 
 def fingerprint(text: Column) -> Column:
