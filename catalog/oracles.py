@@ -406,10 +406,18 @@ SQL = {
     "normalise_ids": f"""
         select l_orderkey, l_linenumber,
                cast(case when l_tax = 0 then null else cast(trunc(l_extendedprice * -0.1) as bigint) end as varchar) as number,
-               cast(case when l_discount = 0 then null else cast(trunc(l_quantity) as bigint) end as varchar) as wide,
+               cast(cast(trunc(case when l_discount = 0 then -1e18::double * l_extendedprice else l_quantity end) as hugeint) as varchar) as wide,
                regexp_replace(' '||chr(9)||chr(12288)||l_returnflag||' '||l_linestatus||'  '||chr(10),
                               '^{SPACE}+|{SPACE}+$', '', 'g') as text
         from lineitem""",
+    "id_losses": """
+        select unnest(['part_null', 'part_nan', 'part_unfit', 'number_null', 'number_nan', 'number_unfit']) as item,
+               unnest([a, 0, 0, 0, b, c]) as value
+        from (
+            select count(*) filter (where not coalesce(l_discount > 0, false)) as a, count(*) filter (where l_tax = 0) as b,
+                   count(*) filter (where l_tax <> 0 and l_tax < 0.03) as c
+            from lineitem
+        )""",
     "drop_null_ids": """
         select cast(l_partkey as varchar) as left_id, cast(l_suppkey as varchar) as right_id, count(*) as n_rows
         from lineitem where l_discount > 0 and l_tax > 0 group by 1, 2""",
@@ -558,6 +566,12 @@ SQL = {
         ids as (select distinct id from on_rows)
         select ids.id, pos, cast(o.id is not null as integer) as value
         from ids cross join vocab left join on_rows o on o.id = ids.id and o.s_nationkey = n_nationkey""",
+    "onehot_customers": f"""
+        with vocab as (
+            select c_custkey, row_number() over (order by {h60("'42'", 'c_custkey')}, c_custkey) - 1 as pos from customer
+        )
+        select distinct cast(l_suppkey as varchar) as id, (select count(*) from customer) as width, pos
+        from lineitem join orders on l_orderkey = o_orderkey join vocab on c_custkey = o_custkey""",
     "concat_vectors": f"with {VECTORS} select {KEYS}, a0 as v0, a1 as v1, c0 as v2, c1 as v3 from v",
     "weighted_pool": f"""with {VECTORS}
         select {KEYS}, {r6(pooled(['a0', 'b0', 'c0'], POOL_WEIGHTS), 'p0')},

@@ -36,7 +36,7 @@ def normalise_ids(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey",
         "l_linenumber",
         F.when(F.col("l_tax") == 0, F.lit(float("nan"))).otherwise(F.col("l_extendedprice") * F.lit(-0.1)).alias("number"),
-        F.when(F.col("l_discount") == 0, F.lit(1e30)).otherwise(F.col("l_quantity")).alias("wide"),
+        F.when(F.col("l_discount") == 0, F.lit(-1e18) * F.col("l_extendedprice")).otherwise(F.col("l_quantity")).alias("wide"),
         F.concat(F.lit(" \t　"), F.col("l_returnflag"), F.lit(" "), F.col("l_linestatus"), F.lit("  \n")).alias("text"),
     )
     return raw.select(
@@ -46,6 +46,15 @@ def normalise_ids(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def id_losses(spark, sf):
+    """Rows whose ids are null, NaN or no ids, per column."""
+    lines = fx.table(spark, sf, "lineitem").select(
+        F.when(F.col("l_discount") > 0, F.col("l_partkey")).alias("part"),
+        F.when(F.col("l_tax") == 0, F.lit(float("nan"))).when(F.col("l_tax") < 0.03, F.lit(1e39)).otherwise(F.col("l_quantity")).alias("number"),
+    )
+    return features.id_losses(lines, ["part", "number"])
+
+
 def drop_null_ids(spark, sf):
     lines = fx.table(spark, sf, "lineitem").select(
         F.when(F.col("l_discount") > 0, F.col("l_partkey")).alias("l"),
@@ -331,6 +340,16 @@ def onehot_associations(spark, sf):
     )
 
 
+def onehot_customers(spark, sf):
+    """Suppliers against all customers they delivered to, numbered in hash order: the places that hold 1."""
+    orders = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    lines = fx.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("string").alias("supplier"))
+    vocab = features.hashed_vocabulary(fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", 42)
+    wide = features.onehot_associations(lines.join(orders, "l_orderkey"), "supplier", "o_custkey", vocab, vocab.count())
+    rows = vectors.vector_rows(wide.withColumn("width", F.size("features").cast("bigint")), ["id", "width"], "features")
+    return rows.filter("value = 1").select("id", "width", big("pos"))
+
+
 def _line_vectors(spark, sf) -> DataFrame:
     lines = fx.table(spark, sf, "lineitem")
     keep = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -836,13 +855,13 @@ def run_record(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalise_ids, drop_null_ids, read_pairs_dedup, read_features_vector, load_modalities, keep_last_features,
+        normalise_ids, id_losses, drop_null_ids, read_pairs_dedup, read_features_vector, load_modalities, keep_last_features,
         entity_universe, index_entities, dataset_summary, negative_capacity, random_pairs, exclude_pairs,
         negative_pairs, negative_pairs_ratio2, negative_pairs_repeats, negative_shortfall, take_first, take_first_spread,
         deterministic_shuffle, deterministic_shuffle_bucketed, label_union, assign_folds, assign_folds_bucketed,
         assign_folds_repeats, fold_summary, fold_views, prepare_splits, stored_splits, overlap_check,
         fold_leak_check, pairs_in_several_folds, violation_examples, assemble_pairs, assemble_pairs_hot,
-        assemble_missing_dropped, assemble_missing_zeros, missing_features, onehot_associations, concat_vectors,
+        assemble_missing_dropped, assemble_missing_zeros, missing_features, onehot_associations, onehot_customers, concat_vectors,
         weighted_pool, fusion_pooled, fusion_concat, explode_vector, vector_rows, row_normalise,
         normalised_weights, stored_weights, softmax_scores, predict_label, ce_loss, ce_loss_clipped,
         ce_loss_logits, focal_loss, focal_loss_sum, label_smoothing_loss, weighted_ce_loss, class_weights,

@@ -17,10 +17,31 @@ def strip_text(col: Column) -> Column:
     return F.regexp_replace(col, _EDGE_SPACE, "")
 
 
+def whole_number(col: Column) -> Column:
+    """The digits of a double's whole part, exact up to 38 of them; null beyond, and for NaN and infinity.
+
+    A double of 2^63 or more is m x 2^e with a 53-bit m, which decimals hold exactly.
+    """
+    x = col.cast("double")
+    size = F.abs(x)
+    small = F.when(size < F.lit(float(1 << 63)), x).try_cast("bigint").cast("string")
+    e = F.floor(F.log2(size)).cast("int") - 53
+    e = F.least(F.greatest(e, F.lit(0)), F.lit(80))
+    half = F.least(e, F.lit(40))
+
+    def two_to(n: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), n)
+
+    m = (size / two_to(half).cast("double") / two_to(e - half).cast("double")).try_cast("bigint")
+    digits = (m.cast("decimal(20,0)") * (two_to(half).cast("decimal(13,0)") * two_to(e - half).cast("decimal(13,0)")).cast("decimal(26,0)")).cast("decimal(38,0)").cast("string")
+    large = F.when((size >= F.lit(float(1 << 63))) & (size < F.lit(1e38)), F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), digits))
+    return F.coalesce(small, large)
+
+
 def normalise_id(df: DataFrame, name: str) -> Column:
     """Id column as a string: numbers lose their fraction, text is stripped.
 
-    Null, NaN and numbers that do not fit 64 bits become null.
+    Null, NaN, infinity and numbers of more than 38 digits become null.
     """
     dtype = df.schema[name].dataType
     col = F.col(f"`{name}`")
@@ -28,8 +49,11 @@ def normalise_id(df: DataFrame, name: str) -> Column:
         return strip_text(col)
     if isinstance(dtype, T.IntegralType):
         return col.cast("string")
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return col.try_cast("bigint").cast("string")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return whole_number(col)
+    if isinstance(dtype, T.DecimalType):
+        whole = F.when(col < 0, F.ceil(col)).otherwise(F.floor(col))
+        return whole.cast("decimal(38,0)").cast("string")
     if isinstance(dtype, T.BooleanType):
         return col.cast("int").cast("string")
     return strip_text(col.cast("string"))

@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pairlab.functions.ids import stable_hash
+from pairlab.functions.ids import normalise_id, stable_hash
 from pairlab.functions.vectors import concat_vectors
 from pairlab.operators.ranking import hash_bucket, rank_rows
 from pairlab.operators.sampling import negative_capacity
@@ -52,7 +53,9 @@ def hot_keys(pairs: DataFrame, key: str) -> DataFrame:
 def salted_join(pairs: DataFrame, table: DataFrame, key: str, how: str, hot: DataFrame) -> DataFrame:
     """Join on the key and a salt: the rows of a hot key spread over several tasks."""
     hot = F.broadcast(hot)
-    part = F.coalesce(F.pmod(F.xxhash64(*pairs.columns), F.col("_salts")).cast("int"), F.lit(0))
+    # salted by ids and numbers, so that no vector is hashed
+    ids = [f.name for f in pairs.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+    part = F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in ids]), F.col("_salts")).cast("int"), F.lit(0))
     spread = pairs.join(hot, key, "left").select(*pairs.columns, part.alias("_salt"))
     every = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     copies = table.join(hot, key, "left").select(*table.columns, F.explode(every).alias("_salt"))
@@ -210,21 +213,43 @@ def hashed_vocabulary(assoc: DataFrame, target: str, seed=0) -> DataFrame:
     return ranked.select(target, (F.col("idx") - 1).cast("int").alias("idx"))
 
 
+def onehot_vector(on: Column, dim: int) -> Column:
+    """Floats 0..dim-1 with 1 at the sorted distinct places ``on``: the runs of zeros between them, laid end to end."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(on, 1, F.greatest(F.size(on) - 1, F.lit(0))))
+    zero, one = F.lit(0.0).cast("float"), F.array(F.lit(1.0).cast("float"))
+    last = F.coalesce(F.try_element_at(on, F.lit(-1)), F.lit(-1))
+    runs = F.zip_with(on, F.slice(before, 1, F.size(on)), lambda at, past: F.concat(F.array_repeat(zero, at - past - 1), one))
+    return F.concat(F.flatten(runs), F.array_repeat(zero, F.lit(dim - 1) - last))
+
+
 def onehot_associations(assoc: DataFrame, entity: str, target: str, vocab: DataFrame, dim: int) -> DataFrame:
     """(id, features): one float per vocabulary entry, 1 where the entity has that target.
 
     Records are made distinct per (entity, entry) with map-side combining before
     they are gathered, so an entity gathers at most ``dim`` numbers however often
-    it occurs.  Targets outside the vocabulary are ignored; the entity stays.  A
-    vocabulary longer than ``dim`` is an error.
+    it occurs; its vector is laid out in one pass over them.  Targets outside
+    the vocabulary are ignored; the entity stays.  A vocabulary longer than
+    ``dim`` is an error.
     """
     message = F.concat(F.lit(f"{dim} places do not hold vocabulary entry "), F.col("idx").cast("string"))
     vocab = vocab.withColumn("idx", F.when(F.col("idx") >= dim, F.raise_error(message).cast("int")).otherwise(F.col("idx")))
     numbered = assoc.select(F.col(entity).alias("id"), target).distinct().join(vocab, target, "left")
-    sets = numbered.groupBy("id").agg(F.collect_set("idx").alias("_on"))
-    positions = F.sequence(F.lit(0), F.lit(dim - 1))
-    hot = F.transform(positions, lambda i: F.array_contains(F.col("_on"), i).cast("int").cast("float"))
-    return sets.select("id", hot.alias("features"))
+    sets = numbered.groupBy("id").agg(F.sort_array(F.collect_set("idx")).alias("_on"))
+    return sets.select("id", onehot_vector(F.col("_on"), dim).alias("features"))
+
+
+def id_losses(raw: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(item, value): per id column how many rows are null, NaN, or a number that is no id (infinite or beyond 38 digits)."""
+    counts = []
+    for c in cols:
+        col, kept = F.col(f"`{c}`"), normalise_id(raw, c)
+        number = isinstance(raw.schema[c].dataType, (T.FloatType, T.DoubleType))
+        nan = F.isnan(col) if number else F.lit(False)
+        counts.append(F.count_if(col.isNull()).alias(f"{c}_null"))
+        counts.append(F.count_if(col.isNotNull() & nan).alias(f"{c}_nan"))
+        counts.append(F.count_if(col.isNotNull() & ~nan & kept.isNull()).alias(f"{c}_unfit"))
+    found = raw.groupBy().agg(*counts)
+    return found.unpivot([], found.columns, "item", "value")
 
 
 def dataset_summary(pairs: DataFrame, tables: dict[tuple[str, str], DataFrame]) -> DataFrame:

@@ -115,6 +115,37 @@ def pair_counts(pairs: DataFrame) -> tuple[int, int]:
     return row["rows"] or 0, row["distinct"]
 
 
+def _side_index(entities: DataFrame, side: str) -> DataFrame:
+    return entities.filter(F.col("side") == side).select(F.col("id").alias(f"{side}_id"), F.col("idx").alias(f"_{side}_idx"))
+
+
+def pair_codes(pairs: DataFrame, entities: DataFrame, n_right: int) -> DataFrame:
+    """(code): a pair as one integer, left number x right entities + right number."""
+    placed = pairs.select(*PAIR).join(_side_index(entities, "left"), "left_id").join(_side_index(entities, "right"), "right_id")
+    return placed.select((F.col("_left_idx") * F.lit(n_right) + F.col("_right_idx")).alias("code"))
+
+
+def drawn_codes(spark, n: int, seed, n_left: int, n_right: int) -> DataFrame:
+    """(attempt, code): the draws of ``random_pairs`` as pair codes; no entity is looked up."""
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK))
+    left_hash, right_hash = hash_pair(seed, F.col("id"))
+    code = (left_hash % F.lit(n_left)) * F.lit(n_right) + right_hash % F.lit(n_right)
+    return spark.range(0, n, 1, tasks).select(F.col("id").alias("attempt"), code.alias("code"))
+
+
+def accepted_codes(draws: DataFrame, known: DataFrame) -> DataFrame:
+    """(code, attempt): first attempt of every drawn code that is no known one; one aggregate on the integer."""
+    both = draws.select("code", "attempt").unionByName(known.select("code", F.lit(-1).cast("bigint").alias("attempt")))
+    return both.groupBy("code").agg(F.min("attempt").alias("attempt")).filter("attempt >= 0")
+
+
+def resolve_codes(codes: DataFrame, entities: DataFrame, n_right: int) -> DataFrame:
+    """(left_id, right_id, attempt) of pair codes."""
+    parted = codes.select("attempt", F.expr(f"code div {n_right}").alias("_left_idx"), (F.col("code") % n_right).alias("_right_idx"))
+    found = parted.join(_side_index(entities, "left"), "_left_idx").join(_side_index(entities, "right"), "_right_idx")
+    return found.select(*PAIR, "attempt")
+
+
 def negative_capacity(positives: DataFrame) -> DataFrame:
     """How many negatives exist at most: left ids x right ids - distinct positives.
 
@@ -157,11 +188,16 @@ def negative_pairs(
     possible pairs are found; ``max_factor`` limits the attempts per wanted pair,
     and fewer pairs come back, with a warning, when they do not suffice.  ``dedupe=False`` counts repeated positives.
     """
-    ids = materialise(positives.select(*PAIR), "positives")
-    rows, distinct = pair_counts(ids)
-    entities = materialise(index_entities(ids, seed), "entities")
+    # the positives are read once: from here on they are distinct pairs with their number
+    counted = positives.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("copies"))
+    known = materialise(counted, "positives")
+    row = known.agg(F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("distinct")).first()
+    rows, distinct = row["rows"] or 0, row["distinct"]
+    entities = materialise(index_entities(known, seed), "entities")
     n_left, n_right = universe_sizes(entities)
     possible = n_left * n_right
+    if possible >= 1 << 62:
+        raise ValueError(f"{possible} possible pairs do not fit a pair code")
     available = possible - distinct
     wanted = (distinct if dedupe else rows) * ratio
     if wanted > available:
@@ -170,10 +206,12 @@ def negative_pairs(
     if max_factor is not None and attempts > wanted * max_factor:
         attempts = wanted * max_factor
         warnings.warn(f"{attempts} attempts may not find {wanted} negatives", stacklevel=2)
-    draws = random_pairs(entities, attempts, seed, (n_left, n_right))
-    accepted = accepted_draws(draws, ids)
+    if not attempts:
+        empty = positives.sparkSession.createDataFrame([], "left_id string, right_id string, attempt bigint")
+        return empty if with_attempt else empty.select(*PAIR)
+    accepted = accepted_codes(drawn_codes(positives.sparkSession, attempts, seed, n_left, n_right), pair_codes(known, entities, n_right))
     width = max(1, -(-attempts // (1 << BUCKET_BITS)))
-    taken = first_by_number(accepted, "attempt", wanted, width)
+    taken = resolve_codes(first_by_number(accepted, "attempt", wanted, width), entities, n_right)
     return taken.select(*PAIR, "attempt") if with_attempt else taken.select(*PAIR)
 
 
