@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.session import run_folder
+from pairlab.session import run_folder, write_parquet
 
 # A word is a run of anything but these six ASCII blanks; Java's \s is exactly that set.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,11 +43,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the session's shared folder and return the written copy.
 
     It cuts the lineage with files that every executor can read and that
-    outlive the executor which wrote them.
+    outlive the executor which wrote them.  The shuffles of the write are not
+    needed any more and their files go.
     """
     spark = df.sparkSession
     path = f"{run_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write_parquet(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
