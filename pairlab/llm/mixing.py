@@ -1,8 +1,9 @@
 """Mixing sources to target weights with DataFrame functions alone.
 
 1. Words of each source lie end to end and are cut into blocks of
-   ``block_words``; a document knows its place from sums over hash buckets,
-   so no task sees a whole source.
+   ``block_words``, or of less in a source that has few words, so that it has
+   ``LEAST_BLOCKS`` of them; a document knows its place from sums over hash
+   buckets, so no task sees a whole source.
 2. Targets follow the weights; none exceeds ``most`` times its source, what
    is above goes to the others by weight (one water level, found on the sorted
    per-source table).
@@ -23,6 +24,7 @@ from pairlab.llm.common import WORD, store, word_count
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 64
+LEAST_BLOCKS = 256
 SHARD_BLOCKS = 65_536
 ROUNDS = 24
 SEED = 42
@@ -83,12 +85,18 @@ def placed(docs: DataFrame, buckets: int) -> DataFrame:
     return dealt.join(sums, ["source_no", "bucket"]).withColumn("start", F.col("before") + F.col("within")).drop("bucket", "before", "within")
 
 
-def block_uses(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, most: int = MOST, seed: int = SEED) -> DataFrame:
+def with_length(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``targets`` with the words of a block of each source."""
+    own = F.ceil(F.col("source_size") / LEAST_BLOCKS)
+    return targets.withColumn("length", F.least(F.lit(block_words), F.greatest(own, F.lit(1))).cast("long"))
+
+
+def block_uses(targets: DataFrame, shard_blocks: int = SHARD_BLOCKS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """(source_no, block, uses): how often the mix takes each block, over all output shards."""
+    blocks = F.ceil(F.col("source_size") / F.col("length"))
+    # a slot holds the mean words of the source's blocks, the last of which may be shorter
     wanted = targets.where("source_size > 0").select(
-        "source_no",
-        F.ceil(F.col("source_size") / block_words).alias("blocks"),
-        (F.col("target") / block_words).alias("slots"),
+        "source_no", blocks.alias("blocks"), (F.col("target") * blocks / F.col("source_size")).alias("slots")
     )
     everything = Window.partitionBy()
     wanted = wanted.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(everything) / shard_blocks)))
@@ -138,12 +146,12 @@ def mix(
     """
     rows = store(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = store(source_targets(sizes, weights, most), "targets")
-    known = rows.join(targets, rows.source.eqNullSafe(targets.source)).select("doc_id", "size", "source_no", "source_size", "target")
+    targets = store(with_length(source_targets(sizes, weights, most), block_words), "targets")
+    known = rows.join(targets, rows.source.eqNullSafe(targets.source)).select("doc_id", "size", "source_no", "source_size", "target", "length")
     n = rows.count()
     put = store(placed(known.withColumn("key", F.struct("doc_id")), max(64, n >> 14)).drop("key"), "placed")
-    parts = block_parts(put.where("size > 0"), block_words)
-    uses = block_uses(targets, block_words, most=most, seed=seed)
+    parts = block_parts(put.where("size > 0"))
+    uses = block_uses(targets, most=most, seed=seed)
     got = parts.hint("merge").join(uses, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     # rows with words have a place of their own in their source
     filled = put.where("size > 0").join(got, ["source_no", "start"], "left")
@@ -151,12 +159,13 @@ def mix(
     return filled.unionByName(none).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def block_parts(put: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``put`` (source_no, start, size > 0) with a row for each block it reaches: block and words in it."""
-    first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
-    rows = put.select("source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    return rows.select("source_no", "start", "block", (end - F.greatest("start", F.col("block") * block_words)).alias("words"))
+def block_parts(put: DataFrame) -> DataFrame:
+    """``put`` (source_no, start, size > 0, length) with a row for each block it reaches: block, words in it and their place in the row."""
+    first, last = F.expr("start div length"), F.expr("(start + size - 1) div length")
+    rows = put.select("source_no", "start", "size", "length", F.explode(F.sequence(first, last)).alias("block"))
+    begin = F.greatest("start", F.col("block") * F.col("length"))
+    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length"))
+    return rows.select("source_no", "start", "block", (end - begin).alias("words"), (begin - F.col("start")).alias("at"))
 
 
 def mixed_documents(
@@ -172,13 +181,14 @@ def mixed_documents(
     """
     key = [F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("_hash")]
     rows = store(docs.select(*key, word_count(F.col(text_col)).alias("size")).distinct(), "sizes")
-    targets = store(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
-    known = rows.join(targets.select("source", "source_no"), rows.source.eqNullSafe(targets.source)).select("_id", "_hash", "size", "source_no")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = store(with_length(source_targets(sizes, weights, most), block_words), "targets")
+    numbers = targets.select("source", "source_no", "length")
+    known = rows.join(numbers, rows.source.eqNullSafe(numbers.source)).select("_id", "_hash", "size", "source_no", "length")
     put = placed(known.withColumn("key", F.struct("_id", "_hash")).where("size > 0"), max(64, rows.count() >> 14))
     put = store(put, "placed")
-    uses = block_uses(targets, block_words, most=most, seed=seed)
-    parts = block_parts(put, block_words).hint("merge").join(uses, ["source_no", "block"])
-    parts = parts.withColumn("at", F.greatest("start", F.col("block") * block_words) - F.col("start"))
+    uses = block_uses(targets, most=most, seed=seed)
+    parts = block_parts(put).hint("merge").join(uses, ["source_no", "block"])
     taken = parts.groupBy("source_no", "start").agg(F.sort_array(F.collect_list(F.struct("at", "words", "uses"))).alias("_parts"))
     taken = put.join(taken, ["source_no", "start"]).select(F.col("_id").alias("_kid"), F.col("_hash").alias("_khash"), F.col("source_no").alias("_no"), "_parts")
     names = targets.select(F.col("source").alias("_source"), F.col("source_no").alias("_sno"))

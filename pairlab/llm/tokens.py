@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -21,12 +22,14 @@ class ChunkEncoder:
 
     The vocabulary drops blanks before it splits and every rule of it stays
     within one run of non-blanks, so a text's ids are its chunks' ids in a
-    row.  Strings of special tokens are ordinary text.
+    row.  Strings of special tokens stand for those tokens wherever they
+    occur; a text that holds one is encoded whole by the vocabulary itself.
     """
 
     def __init__(self, vocabulary: str):
         self._tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self._tokenizer.encode_special_tokens = True
+        special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile(b"|".join(re.escape(t.encode()) for t in special)) if special else None
         self._known: dict[bytes, bytes] = {}
         # what the vocabulary's byte step makes of a byte: itself if it is printable, else the next free character
         free = iter(range(256, 512))
@@ -69,16 +72,23 @@ class ChunkEncoder:
         """The ids of every text, in order; null counts as empty."""
         at = 0
         while at < len(texts):
-            some, size = [], 0
+            some, size, whole = [], 0, {}
             while at < len(texts) and (not some or size < TOGETHER):
                 text = texts[at] or b""
                 size += len(text)
+                if self._special and self._special.search(text):
+                    whole[len(some)] = self._plain(text)
+                    text = b""
                 some.append(text.split())
                 at += 1
             self._learn(set().union(*some))
             known = self._known
-            for chunks in some:
-                yield b"".join([known[c] for c in chunks])
+            for i, chunks in enumerate(some):
+                yield whole[i] if i in whole else b"".join([known[c] for c in chunks])
+
+    def _plain(self, text: bytes) -> bytes:
+        ids = self._tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return b"".join([self._bytes_of[i] for i in ids])
 
 
 def encoder(vocabulary: str = VOCABULARY) -> ChunkEncoder:

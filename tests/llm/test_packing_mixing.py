@@ -19,7 +19,6 @@ ODD = ["Ünï.. it's don't's a|b", "ΑΣ Σ. é, É! İx 12ab 3.14", "<|endoftex
 
 def test_chunks_encode_like_whole_texts():
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
     for text, got in zip(ODD, encoder().encode([t.encode() for t in ODD]), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
@@ -61,7 +60,6 @@ def test_packing_is_a_round_trip(spark):
     docs = spark.createDataFrame([(a, b, "clash") for a, b in rows], "doc_id long, text string, length string")
     got = packing.pack(docs, capacity=64, with_ids=True).collect()
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
     want = Counter()
     for i, text in rows:
         ids = plain.encode(text or "", add_special_tokens=False).ids + [0]
@@ -156,3 +154,19 @@ def test_empty_documents_pass_the_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.store(stage(spark, docs, contract.SMOKE_DIR), "empty")
         assert docs.count() == 0
+
+
+def test_small_sources_reach_their_targets(spark):
+    # sources of a few words: blocks are as short as the source needs
+    rows = [(i, f"s{i:02}", " ".join(["w"] * n)) for i, n in enumerate([10] * 40 + [65] * 20 + [4_000] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken"), F.max("source_size").alias("size")).collect()
+    assert all(abs(r.taken - r.target) <= max(2, 0.04 * r.target) for r in got), [(r.size, r.target, r.taken) for r in got]
+    assert all(r.taken <= 3 * r.size for r in got)
+
+
+def test_special_tokens_in_a_text_are_those_tokens():
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|startoftext|>", "x<|endoftext|>y Z", "<|endoftext", "plain, text"]
+    for text, got in zip(texts, encoder().encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
