@@ -101,17 +101,16 @@ def test_next_id_probabilities_sum_to_one():
     with np.load(lm.io.BytesIO(model)) as held:
         groups = held["groups"]
     code, n = np.unique(groups[np.concatenate([[lm.BEGIN], ids])] * lm.IDS + np.append(ids, lm.END), return_counts=True)
-    scorer = lm.Scorer(model, code // lm.IDS, code % lm.IDS, n)
+    order = np.argsort(code)
+    scorer = lm.Scorer(model, code[order].astype(np.int32), n[order].astype(np.float32))
     scorer_of = lambda s: scorer.scores([np.array(s, np.int64)])[0]
     inputs, there, _, _ = lm.windows([ids[:2]])
     total = 0.0
     for k in range(scorer.classes.max() + 1):
         log = scorer.model.log_targets(scorer.number[inputs], there, np.full(lm.STEP, k))[2]
-        inside = scorer.classes == k
-        column = scorer.column[inside]
-        group = groups[ids[1]]
-        within = np.where(column >= 0, np.exp(scorer.table[group][column]), np.exp(scorer.rare[inside] - scorer.both[group, k]))
-        total += math.exp(log) * within.sum()
+        inside = np.flatnonzero(scorer.classes == k)
+        group = np.full(len(inside), groups[ids[1]], np.int64)
+        total += math.exp(log) * np.exp(scorer.within_class(group, inside, np.full(len(inside), k))).sum()
     assert abs(total - 1) < 1e-3
     # a long text is read in several windows, each id scored once
     assert scorer_of(np.tile(ids, 10)) < scorer_of(ids) < 0
