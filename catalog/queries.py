@@ -771,7 +771,7 @@ def cross_validate_predictions(spark, sf):
 
 def cross_validate_separable(spark, sf):
     """Seven modalities, one of which tells the label: every held-out pair is scored right."""
-    cfg = ExperimentConfig(fusion="concat", classifier_params={"maxIter": 60})
+    cfg = ExperimentConfig(fusion="concat", classifier_params={"maxIter": 30})
     split = folds.assign_folds(fx.brand_pairs(spark, sf), 5, 42)
     mods = {**fx.modalities(spark, sf), ("left", "seq"): fx.left_brand(spark, sf)}
     found = experiment.cross_validate(split, mods, cfg).metrics
