@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from catalog.queries import QUERIES  # noqa: E402
-from pairlab.session import build_session  # noqa: E402
+from pairlab.session import build_session, drop_intermediates  # noqa: E402
 
 HEADLINE = (
     "normalise_ids",
@@ -37,6 +37,12 @@ HEADLINE = (
     "early_stop",
     "score_linear",
     "all_folds_predictions",
+    "random_pairs",
+    "prepare_splits",
+    "assemble_pairs_hot",
+    "modality_features",
+    "projection_2d",
+    "ablation",
     "cross_validate",
 )
 
@@ -58,6 +64,7 @@ def main() -> None:
         start = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         spent[name] = round(time.time() - start, 3)
+        drop_intermediates(spark)
         print(f"{name} {spent[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(
