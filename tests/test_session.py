@@ -33,3 +33,22 @@ def test_shared_folder_is_required_on_a_cluster(spark):
     Session.conf = type("C", (), {"get": staticmethod(lambda key, default: default)})
     Context.master = "local[2]"
     assert session.scratch_root(Session) == session.scratch_root(Session)
+
+
+def test_a_mounted_folder_counts_as_shared_on_a_cluster(spark, tmp_path):
+    class Context:
+        master, applicationId = "spark://host:7077", "mounted"
+
+    class Session:
+        sparkContext, range, read, _jsc = Context, staticmethod(spark.range), spark.read, spark._jsc
+
+    def holds(**conf):
+        Session.conf = type("C", (), {"get": staticmethod(lambda key, default: conf.get(key.split(".")[-2], default))})
+        return session.scratch_root(Session)
+
+    assert holds(checkpoint=f"file:{tmp_path}/a/") == f"file:{tmp_path}/a"
+    assert holds(checkpoint=f"{tmp_path}/a/") == f"{tmp_path}/a"
+    # without a checkpoint folder the warehouse is the shared one
+    assert holds(warehouse=f"file:{tmp_path}/b") == f"file:{tmp_path}/b"
+    with pytest.raises(ValueError, match="one machine"):
+        holds(checkpoint="file:/proc/nowhere")
