@@ -94,8 +94,20 @@ def explode_vector(col, prefix: str, dim: int) -> list[Column]:
     return [F.get(_col(col), F.lit(i)).alias(f"{prefix}{i}") for i in range(dim)]
 
 
+def sparse_vector(on: Column, dim: int) -> Column:
+    """A vector with 1 at the sorted distinct places ``on``: its width, the places not zero and their values."""
+    ones = F.transform(on, lambda x: F.lit(1.0).cast("float"))
+    return F.struct(F.lit(dim).alias("width"), on.alias("places"), ones.alias("values"))
+
+
 def vector_rows(df: DataFrame, keys: Sequence[str], col: str, value: str = "value") -> DataFrame:
-    """Long form of a vector: one row per position; preferred for wide vectors."""
+    """Long form of a vector: one row per position; preferred for wide vectors.
+
+    A sparse vector gives its stored places only; all others are zero.
+    """
+    if df.schema[col].dataType.typeName() == "struct":
+        places = F.arrays_zip(F.col(f"{col}.places").alias("pos"), F.col(f"{col}.values").alias(value))
+        return df.select(*keys, F.explode(places).alias("_at")).select(*keys, "_at.pos", f"_at.{value}")
     return df.select(*keys, F.posexplode(_col(col)).alias("pos", value))
 
 
