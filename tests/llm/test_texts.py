@@ -94,6 +94,26 @@ def test_language_model_base_is_exact_and_probabilities_sum_to_one(spark):
     assert lm.score_texts(docs.limit(0), "false").count() == 0
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    rng = np.random.default_rng(11)
+    # 1,900 texts, more than the 1,500 that were once sampled; each has a number of its own
+    rows = [(i, " ".join(["the cat", "a dog"][int(x)] for x in rng.integers(0, 2, 4)) + f" {i}") for i in range(1_900)]
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in rows], "doc_id long, text binary").selectExpr("doc_id", "false as fold", "text")
+    encoded = docs.mapInArrow(lm._encoded(lm.VOCABULARY), "doc_id long, fold boolean, text binary, ids binary")
+    for shard in (4_000, 1 << 20):
+        model = lm._unpack(lm.learned(encoded, shard))
+        ids = {int(i) for found in lm.encoder().encode([t.encode() for _, t in rows]) for i in np.frombuffer(found, "<u4")}
+        fresh = lm.Attention.fresh(len(ids) + 3, int(model["classes"].max()) + 1).a["E"]
+        number = model["number"][sorted(ids)]
+        assert len(model["E"]) == len(ids) + 3 and number.max() < len(ids) + 2
+        assert (model["E"][number] != fresh[number]).any(axis=1).all()
+    again = lm._unpack(lm.learned(encoded.repartition(3), 4_000))
+    first = lm._unpack(lm.learned(encoded, 4_000))
+    assert all(np.array_equal(first[k], again[k]) for k in first)
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id % 5 = 2", shard=4_000).where("held_out").collect()
+    assert len(got) == 380 and all(math.isfinite(r.score) and r.score < 0 for r in got)
+
+
 def test_next_id_probabilities_sum_to_one():
     texts = [b"the cat sat. the dog ran."] * 20
     model = lm.train(texts)
