@@ -52,3 +52,17 @@ def test_a_mounted_folder_counts_as_shared_on_a_cluster(spark, tmp_path):
     assert holds(warehouse=f"file:{tmp_path}/b") == f"file:{tmp_path}/b"
     with pytest.raises(ValueError, match="one machine"):
         holds(checkpoint="file:/proc/nowhere")
+
+
+def test_a_local_cluster_without_a_checkpoint_folder_uses_what_its_executors_share(spark, tmp_path):
+    class Context:
+        master, applicationId = "local-cluster[3,4,1024]", "local-cluster"
+
+    class Session:
+        sparkContext, range, read, _jsc = Context, staticmethod(spark.range), spark.read, spark._jsc
+        conf = type("C", (), {"get": staticmethod(lambda key, default: f"file:{tmp_path}/w" if "warehouse" in key else default)})
+
+    # not the driver's temp folder, which an executor need not see
+    assert session.scratch_root(Session) == f"file:{tmp_path}/w"
+    Context.getCheckpointDir = staticmethod(lambda: f"file:{tmp_path}/set")
+    assert session.scratch_root(Session) == f"file:{tmp_path}/set"
