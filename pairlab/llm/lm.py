@@ -283,10 +283,18 @@ def _encoded(vocabulary: str):
     return run
 
 
+def _parts(batches):
+    """The ids of a few rows at a time, with nothing left in the worker of an earlier step, such as the encoder's chunks."""
+    worker_cache("ids", dict)
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield _sequences(batch.slice(at, AT_ONCE))
+
+
 def _id_counts(batches):
     count = np.zeros(IDS, np.int64)
-    for batch in batches:
-        count += np.bincount(_chain(_sequences(batch)), minlength=IDS)
+    for sequences in _parts(batches):
+        count += np.bincount(_chain(sequences), minlength=IDS)
     some = np.flatnonzero(count)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["id", "n"])
 
@@ -295,12 +303,13 @@ def _neighbour_counts(count: np.ndarray):
     def run(batches):
         seen, number, common = _numbered(count)
         sums = np.zeros(len(seen) * 256, np.int32)
-        for batch in batches:
-            np.add.at(sums, _neighbours(_chain(_sequences(batch)), number, common), np.int32(1))
-        some = np.flatnonzero(sums)
-        for at in range(0, len(some), 200_000):
-            part = some[at : at + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[part].astype(np.int64))], ["code", "n"])
+        for sequences in _parts(batches):
+            np.add.at(sums, _neighbours(_chain(sequences), number, common), np.int32(1))
+        for at in range(0, len(sums), 1 << 20):
+            some = np.flatnonzero(sums[at : at + (1 << 20)]) + at
+            for lo in range(0, len(some), 200_000):
+                part = some[lo : lo + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[part].astype(np.int64))], ["code", "n"])
 
     return run
 
@@ -309,6 +318,7 @@ def _cluster(count: np.ndarray):
     """The sums of all tasks to one packed table of numbers, classes and groups."""
 
     def run(batches):
+        worker_cache("ids", dict)  # the encoder's chunks go
         profile = np.zeros(len(_numbered(count)[0]) * 256, np.float32)
         for batch in batches:
             profile[batch.column("code").to_numpy()] = batch.column("n").to_numpy()
@@ -329,6 +339,7 @@ def _train_shard(model: bytes, seed: int, begin: float, end: float, once: bool):
     """Documents of a shard to weights and weighted parameters: blocks of embeddings, all else as block -1."""
 
     def run(key, frame):
+        worker_cache("ids", dict)  # the encoder's chunks go
         arrays = _unpack(model)
         number, classes, _ = (arrays.pop(k) for k in ("number", "classes", "groups"))
         found = Attention(arrays)
@@ -448,30 +459,36 @@ def _word_rows(words: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array([-1] * len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], ["word", "code", "n"])
 
 
+def _pair_rows(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    code, n = np.unique(np.concatenate(pairs), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.array(code), pa.array(n.astype(np.int64))], ["word", "code", "n"])
+
+
 def _count(model: bytes):
-    """Word counts and counts of (group, id) of every batch."""
+    """Word counts and counts of (group, id), handed on whenever enough are held."""
 
     def run(batches):
+        worker_cache("ids", dict)  # the encoder's chunks go
         groups = _unpack(model)["groups"]
-        for batch in batches:
-            words: Counter = Counter()
-            parts, pairs, size = [], [], 0
-            for text, ids in zip(batch.column("text"), _sequences(batch), strict=True):
-                words.update((text.as_py() or b"").lower().split())
-                if len(words) > DISTINCT:
-                    yield _word_rows(words)
-                    words.clear()
-                ids = ids.astype(np.int64)
-                pairs.append(groups[np.concatenate([[BEGIN], ids])] * IDS + np.append(ids, END))
-                size += len(ids) + 1
-                if size > TOGETHER * 10:
-                    parts.append(np.unique(np.concatenate(pairs), return_counts=True))
-                    pairs, size = [], 0
-            if pairs:
-                parts.append(np.unique(np.concatenate(pairs), return_counts=True))
-            yield _word_rows(words)
-            for code, n in parts:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.array(code), pa.array(n.astype(np.int64))], ["word", "code", "n"])
+        words: Counter = Counter()
+        pairs, size = [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                for text, ids in zip(batch.column("text"), _sequences(batch), strict=True):
+                    words.update((text.as_py() or b"").lower().split())
+                    if len(words) > DISTINCT:
+                        yield _word_rows(words)
+                        words.clear()
+                    ids = ids.astype(np.int64)
+                    pairs.append(groups[np.concatenate([[BEGIN], ids])] * IDS + np.append(ids, END))
+                    size += len(ids) + 1
+                    if size > TOGETHER * 10:
+                        yield _pair_rows(pairs)
+                        pairs, size = [], 0
+        yield _word_rows(words)
+        if pairs:
+            yield _pair_rows(pairs)
 
     return run
 

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from pairlab.llm import language, licenses, lm, toxicity
 
@@ -114,6 +115,54 @@ def test_language_model_learns_from_every_training_document(spark):
     assert len(got) == 380 and all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_ids_are_counted_a_few_rows_at_a_time_without_the_encoder(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(0, 300, n).astype("<u2") for n in (5, 0, 9, 1, 40, 3, 7)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], ["ids"])
+    chain = lm._chain(rows)
+    count = np.bincount(chain, minlength=lm.IDS)
+    _, number, common = lm._numbered(count)
+    wanted = np.bincount(lm._neighbours(chain, number, common))
+    sizes, whole = [], lm._chain
+    monkeypatch.setattr(lm, "AT_ONCE", 2)
+    monkeypatch.setattr(lm, "_chain", lambda part: sizes.append(len(part)) or whole(part))
+    for step in (lm._id_counts, lm._neighbour_counts(count)):
+        lm.worker_cache("encoder", list)
+        found = pa.Table.from_batches(list(step(iter([batch]))))
+        expected = count if "id" in found.column_names else wanted
+        assert found.column("n").to_pylist() == expected[expected > 0].tolist()
+        assert found.column(0).to_pylist() == np.flatnonzero(expected).tolist()
+        # what encoding left in the worker went
+        assert lm.worker_cache("encoder", dict) == {}
+    assert max(sizes) <= 2
+
+
+def test_words_and_pairs_are_handed_on_while_they_are_counted(monkeypatch):
+    texts = [b"a b a", b"", None, b"c a", b"b b c d"]
+    ids = [np.arange(n, dtype="<u2") for n in (3, 0, 0, 2, 4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array([i.tobytes() for i in ids], pa.binary())], ["text", "ids"])
+    model = lm._pack(groups=np.arange(lm.IDS) % lm.GROUPS)
+    taken, whole = [], lm._sequences
+    monkeypatch.setattr(lm, "AT_ONCE", 2)
+    monkeypatch.setattr(lm, "TOGETHER", 0)
+    monkeypatch.setattr(lm, "_sequences", lambda part: taken.append(part.num_rows) or whole(part))
+    step = lm._count(model)(iter([batch]))
+    first = next(step)
+    # the first pairs leave before the rest of the batch is read
+    assert sum(taken) == 2 and first.column("code").null_count == 0
+    rows = pa.Table.from_batches([first, *step])
+    words, pairs = Counter(), Counter()
+    for row in rows.to_pylist():
+        if row["word"] is None:
+            pairs[row["code"]] += row["n"]
+        else:
+            words[row["word"]] += row["n"]
+    assert words == Counter(b" ".join(t or b"" for t in texts).split())
+    groups = np.arange(lm.IDS) % lm.GROUPS
+    assert pairs == Counter(int(groups[a]) * lm.IDS + int(b) for i in ids for a, b in zip([lm.BEGIN, *i], [*i, lm.END], strict=True))
+    assert max(taken) <= 2
+
+
 def test_next_id_probabilities_sum_to_one():
     texts = [b"the cat sat. the dog ran."] * 20
     model = lm.train(texts)
