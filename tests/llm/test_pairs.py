@@ -209,3 +209,41 @@ def test_an_exact_repeat_is_found_beside_an_unrelated_first_document(spark):
     for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got.setdefault((r.doc_id, r.of_doc_id), set()).update(range(r.start_word, r.start_word + r.n_words))
     assert all(set(range(at, at + 60)) <= got.get((doc, of_doc), set()) for doc, (of_doc, at) in want.items())
+
+
+def test_equal_runs_share_an_anchor_with_equal_surroundings_hashed_alike():
+    rng = np.random.default_rng(9)
+    shared = rng.integers(0, 2**63, 120).astype(np.uint64)
+    texts = [np.concatenate([rng.integers(0, 2**63, n).astype(np.uint64), shared, rng.integers(0, 2**63, 30).astype(np.uint64)]) for n in (3, 77)]
+    (at, key, around), (of_at, of_key, of_around) = (passages.anchors(t, 46) for t in texts)
+    least = passages.ANCHOR + passages.AMONG - 1
+    same = {(a, o) for a, k in zip(at.tolist(), key, strict=True) for o, f in zip(of_at.tolist(), of_key, strict=True) if k == f}
+    assert all(any(s <= a - 3 == o - 77 and a - 3 + passages.ANCHOR <= s + least for a, o in same) for s in range(len(shared) - least + 1))
+    whole = {k: h for a, k, h in zip(at, key, around, strict=True) if 49 <= a <= 3 + 120 - 46 - passages.ANCHOR}
+    of_whole = dict(zip(of_key, of_around, strict=True))
+    assert whole and all(of_whole[k] == h for k, h in whole.items())
+    assert len(set(around.tolist())) == len(around)
+    # a repeated word keeps few anchors
+    assert len(passages.anchors(np.full(10_000, 7, np.uint64), 46)[0]) < 10_000 / 50
+
+
+def test_a_near_repeat_is_found_whatever_the_windows_and_their_first_documents(spark):
+    rng = np.random.default_rng(10)
+
+    def changed(words, places):
+        return [f"x{i}" if i in places else w for i, w in enumerate(words)]
+
+    rows, want = [], {}
+    for i in range(0, 480, 4):
+        shared = sentence(rng, 140).split()
+        # earlier documents hold 48 words of it each, too few for a passage, and so are first for the windows' keys
+        rows += [(1_000 + i, " ".join(shared[2:50]) + " " + sentence(rng, 30) + " " + " ".join(shared[50:98]))]
+        rows += [(1_001 + i, " ".join(shared[90:138]) + " " + sentence(rng, 30))]
+        # three words changed: 121 of 151 shingles are common, a Jaccard similarity of 0.801
+        rows += [(1_002 + i, sentence(rng, 20) + " " + " ".join(shared)), (1_003 + i, sentence(rng, 25) + " " + " ".join(changed(shared, {35, 70, 105})))]
+        want[1_003 + i] = 1_002 + i
+    got = {}
+    for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault((r.doc_id, r.of_doc_id), set()).update(range(r.start_word, r.start_word + r.n_words))
+    lost = [doc for doc, of_doc in want.items() if len(got.get((doc, of_doc), set()) & set(range(25, 165))) < 130]
+    assert not lost
