@@ -191,7 +191,7 @@ def _cut(vocabulary: str, capacity: int, with_ids: bool):
     def run(batches):
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, found in enumerate(encoder(vocabulary).encode(batch.column("_text").to_pylist())):
+            for row, found in enumerate(encoder(vocabulary).encode(batch.column("_text"))):
                 found += END
                 for number, at in enumerate(range(0, len(found), 4 * capacity)):
                     part = found[at : at + 4 * capacity]

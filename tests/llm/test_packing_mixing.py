@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from pairlab.llm import mixing, packing
+from pairlab.llm import mixing, packing, tokens
 from pairlab.llm.tokens import encoder
 
 ODD = ["Ünï.. it's don't's a|b", "ΑΣ Σ. é, É! İx 12ab 3.14", "<|endoftext|> x y é ½ ß ẞ \x1c!a ..., |||", "", " \n", "a" * 3000, "日本語 text，混ぜ", "naïve.naïve! (x) [y]"]
@@ -170,3 +170,17 @@ def test_special_tokens_in_a_text_are_those_tokens():
     texts = ["a <|endoftext|> b", "<|endoftext|><|startoftext|>", "x<|endoftext|>y Z", "<|endoftext", "plain, text"]
     for text, got in zip(texts, encoder().encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_forms_of_a_word_are_learned_once(monkeypatch):
+    monkeypatch.setattr(tokens, "TOGETHER", 40)
+    texts = ["word Word WORD, word. word!!", "Élan élan, ÉLAN", "word, İst Kelvin x1 \xe9lan", "", "||", "Word <|endoftext|> word"] * 3
+    for cached in (tokens.CACHED, 2):
+        monkeypatch.setattr(tokens, "CACHED", cached)
+        held = tokens.ChunkEncoder(tokens.VOCABULARY)
+        vocabulary, merged, known = held._tokenizer, [], held._merged
+        monkeypatch.setattr(held, "_merged", lambda words, merged=merged, known=known: merged.extend(words) or known(words))
+        found = list(held.encode([t.encode() for t in texts] + [None]))
+        assert found == [np.array(vocabulary.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts] + [b""]
+        if cached > 2:
+            assert sorted(merged) == ["word", "élan"]
