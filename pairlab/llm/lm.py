@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import release, store, worker_cache
+from pairlab.llm.common import give_back, release, store, tidy, worker_cache
 from pairlab.llm.tokens import VOCABULARY, encoder
 
 SHARD = 2_000_000  # ids that one task trains on
@@ -277,7 +277,7 @@ def _encoded(vocabulary: str):
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(at, AT_ONCE)
-                found = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in encoder(vocabulary).encode(part.column("text").to_pylist())]
+                found = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in encoder(vocabulary).encode(part.column("text"))]
                 yield part.append_column("ids", pa.array(found, pa.binary()))
 
     return run
@@ -365,13 +365,13 @@ def _added(key, frame):
 
 def learned(texts: DataFrame, shard: int = SHARD, seed: int = 42) -> bytes:
     """The packed model of all rows of ``texts`` (doc_id, ids)."""
-    rows = texts.select("ids").mapInArrow(_id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # at most IDS rows
+    rows = texts.select("ids").mapInArrow(tidy(_id_counts), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # at most IDS rows
     count = np.zeros(IDS, np.int64)
     count[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
     if not count.any():
         return train([], seed=seed)
-    sums = texts.select("ids").mapInArrow(_neighbour_counts(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    tables = _unpack(sums.repartition(1).mapInArrow(_cluster(count), "model binary").first()[0])
+    sums = texts.select("ids").mapInArrow(tidy(_neighbour_counts(count)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    tables = _unpack(sums.repartition(1).mapInArrow(tidy(_cluster(count)), "model binary").first()[0])
     model = Attention.fresh(int((count > 0).sum()) + 1, int(tables["classes"].max()) + 1, seed)
     shards = int(-(-count.sum() // shard))
     rounds = ROUNDS if shards > 1 else 1
@@ -514,6 +514,7 @@ def _score(model: bytes, pairs: tuple, frequent: pa.Table):
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), *arrays, pa.array(scorer.scores(_sequences(batch)), pa.float64())], names)
+                give_back()
 
     return run
 
@@ -530,11 +531,11 @@ def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.expr(held_out), F.lit(False)).alias("fold"), F.col(text_col).cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = store(rows.mapInArrow(_encoded(vocabulary), f"doc_id {kind}, fold boolean, text binary, ids binary"), "encoded")
+    rows = store(rows.mapInArrow(tidy(_encoded(vocabulary)), f"doc_id {kind}, fold boolean, text binary, ids binary"), "encoded")
     training = rows.where("not fold")
     n_docs = training.count()
     model = learned(training, shard)
-    counts = training.select("text", "ids").mapInArrow(_count(model), "word binary, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    counts = training.select("text", "ids").mapInArrow(tidy(_count(model)), "word binary, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
     counts = store(counts, "counts")
     words = counts.where("word is not null").select("word", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -546,7 +547,7 @@ def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col
     order = np.argsort(code)
     seen = code[order].astype(np.int32), pairs.column("n").to_numpy()[order].astype(np.float32)
     schema = f"doc_id {kind}, fold boolean, n_tokens long, known long, logs double, words array<binary>, ns array<long>, score double"
-    scored = rows.mapInArrow(_score(model, seen, frequent), schema).withColumn("row", F.monotonically_increasing_id())
+    scored = rows.mapInArrow(tidy(_score(model, seen, frequent)), schema).withColumn("row", F.monotonically_increasing_id())
     scored = store(scored, "scores")
     release(rows)
     rare = scored.select("row", F.explode(F.arrays_zip("words", "ns")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.ns").alias("times"))

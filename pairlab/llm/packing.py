@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import store
+from pairlab.llm.common import store, tidy
 from pairlab.llm.tokens import VOCABULARY, encoder
 
 CAPACITY = 2_048
@@ -243,7 +243,7 @@ def pack(
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("_text"))
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    pieces = store(rows.mapInArrow(_cut(vocabulary, capacity, with_ids), schema), "pieces")
+    pieces = store(rows.mapInArrow(tidy(_cut(vocabulary, capacity, with_ids)), schema), "pieces")
     # ranks among the pieces of a length: offsets of hash buckets, then ranks within a bucket
     buckets = max(256, pieces.count() >> 16)
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))

@@ -10,12 +10,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from pairlab.llm.common import worker_cache
+from pairlab.llm.common import give_back, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 MARKS = ".,;:!?|"
 PLAIN = "\u0130"  # letters below it are composed already and have plain lower case
-CACHED = 400_000  # chunks that a worker remembers
+CACHED = 200_000  # chunks that a worker remembers
 TOGETHER = 1 << 23  # bytes of text looked up at once
 
 
@@ -107,6 +107,7 @@ class ChunkEncoder:
             begin = ends[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(ends, begin + TOGETHER)))
             yield from self._encoded(texts.slice(at, stop - at))
+            give_back()
             at = stop
 
     def _encoded(self, texts: pa.Array) -> Iterator[bytes]:

@@ -5,8 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from pairlab.llm import language, licenses, lm, toxicity
+from pairlab.llm import common, language, licenses, lm, toxicity
 
 EN, DE = "the quick brown fox jumps over the lazy dog and the cat", "der schnelle braune fuchs springt über den faulen hund und die katze"
 
@@ -205,3 +206,15 @@ def test_license_prefilter_loses_nothing():
     weights = {w: v / norm for w, v in weights.items()}
     needed = licenses.needed_words(weights, 0.7)
     assert math.sqrt(sum(v * v for w, v in weights.items() if w not in needed)) < 0.7
+
+
+def test_stored_steps_hand_small_batches_to_workers_and_back(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "n"])
+
+    before = spark.conf.get(common.BATCH_CONF)
+    rows = spark.range(0, 3_000, 1, 1).select(F.expr("repeat('x', 4000)").alias("text"))
+    got = common.store(rows.mapInArrow(common.tidy(sizes), "size long, n long"), "sizes").collect()
+    assert sum(r.n for r in got) == 3_000 and max(r["size"] for r in got) < common.BATCH_BYTES + 10_000
+    assert spark.conf.get(common.BATCH_CONF) == before
