@@ -1,6 +1,7 @@
 """SimHash, embeddings, neighbours and passages against brute force, with the awkward rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -247,3 +248,13 @@ def test_a_near_repeat_is_found_whatever_the_windows_and_their_first_documents(s
         got.setdefault((r.doc_id, r.of_doc_id), set()).update(range(r.start_word, r.start_word + r.n_words))
     lost = [doc for doc, of_doc in want.items() if len(got.get((doc, of_doc), set()) & set(range(25, 165))) < 130]
     assert not lost
+
+
+def test_windows_are_linked_whatever_the_batches():
+    rng = np.random.default_rng(5)
+    words = [" ".join(f"w{n}" for n in rng.integers(0, 9_000, 120)) for _ in range(3)]
+    texts = [(words[i % 3] + f" z{i}").encode() for i in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(12)), pa.array(texts, pa.binary())], ["doc", "text"])
+    run = passages._windows(46)
+    whole = pa.Table.from_batches(run(iter([batch]))).to_pylist()
+    assert pa.Table.from_batches(run(iter([batch.slice(at, 2) for at in range(0, 12, 2)]))).to_pylist() == whole
