@@ -258,3 +258,13 @@ def test_windows_are_linked_whatever_the_batches():
     run = passages._windows(46)
     whole = pa.Table.from_batches(run(iter([batch]))).to_pylist()
     assert pa.Table.from_batches(run(iter([batch.slice(at, 2) for at in range(0, 12, 2)]))).to_pylist() == whole
+
+
+def test_pairs_that_share_little_are_rejected_before_they_are_aligned(monkeypatch):
+    rng = np.random.default_rng(11)
+    a, b = (rng.integers(0, 1 << 32, 320, dtype=np.uint32) for _ in range(2))
+    b[100:160] = a[120:180]
+    assert [p[:4] for p in passages.trimmed(a, b, 46, 0.8)] == [(120, 60, 100, 60)]
+    b[130:160] = rng.integers(0, 1 << 32, 30, dtype=np.uint32)
+    monkeypatch.setattr(passages, "_best_parts", None)
+    assert passages.trimmed(a, b, 46, 0.8) == []
