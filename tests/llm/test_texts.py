@@ -68,6 +68,25 @@ def test_toxicity_generalises_to_held_out_texts(spark):
     assert len(odd) == 4 and len({r.score for r in odd if r.doc_id}) == 1 and next(r.predicted for r in odd if r.doc_id is None) == 1
 
 
+def test_toxicity_learns_from_every_labelled_text(spark):
+    rows = toxic_rows(900, 3)
+    docs = spark.createDataFrame([(a, b, c) for a, b, c, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(a, d) for a, _, _, d in rows if a < 600], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, fit_rows=200)  # three shards of the 600 texts, of which 200 were once sampled
+    own = [r for r in rows if r[0] < 600]
+    whole = toxicity.train([r[1].encode() for r in own], [r[3] for r in own], [r[2] for r in own])
+    assert np.array_equal(model.arrays["tongue"], whole.arrays["tongue"])
+    assert ((model.arrays["emb"] != 0).any(axis=1) >= (whole.arrays["emb"] != 0).any(axis=1)).mean() > 0.99
+    again = toxicity.fit(docs.repartition(5), labels.repartition(3), fit_rows=200)
+    assert all(np.array_equal(a, again.arrays[n]) for n, a in model.arrays.items())
+    got = {r.doc_id: r.predicted for r in toxicity.predict(docs, model).collect()}
+    held = [(got[a], d) for a, _, _, d in rows if a >= 600]
+    assert sum(p == d for p, d in held) >= 0.9 * len(held)
+    # one kind of label gives the base rate, as in one task
+    clean = toxicity.fit(docs, labels.withColumn("toxic", F.lit(0)), fit_rows=200)
+    assert {r.predicted for r in toxicity.predict(docs, clean).collect()} == {0}
+
+
 def test_toxicity_without_labels_of_both_kinds(spark):
     docs = spark.createDataFrame([(1, "a b", "en"), (2, "c", None)], "doc_id long, text string, lang string")
     for rows in ([], [(1, 0), (2, 0)]):
