@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pairlab.llm.common import components, edge_roots, store
 
 SAMPLE = 8_192  # vectors that fit the codebooks
-CELL = 1_024  # wanted vectors of a cell; also of a block
+CELL = 4_096  # wanted vectors of the largest label in a cell; also of a block
 CENTRES = 64  # most centres of a codebook
 SEED = 42
 
@@ -40,12 +40,15 @@ def unit_vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     found = []
     for dim in np.unique(lengths):
         rows = np.flatnonzero(lengths == dim)
-        x = values[starts[rows][:, None] + np.arange(dim)]
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        found.append((rows, x / np.sqrt((x * x).sum(axis=1, keepdims=True))))
+        found.append((rows, _units(values[starts[rows][:, None] + np.arange(dim)])))
     return found
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
 
@@ -96,7 +99,11 @@ def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], radius2: float):
 def _dealt_cells(books: dict, radius2: float):
     def run(batches):
         for batch in batches:
-            for rows, x in unit_vectors(batch.column("embedding")):
+            column = batch.column("embedding")
+            values = column.flatten().to_numpy(zero_copy_only=False)
+            values = values if values.dtype in (np.float32, np.float64) else values.astype(np.float64)
+            ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+            for rows, x in unit_vectors(column):
                 dim = x.shape[1]
                 if dim in books:
                     home, row, cell = visits(x, books[dim], radius2)
@@ -108,7 +115,8 @@ def _dealt_cells(books: dict, radius2: float):
                 for lo in range(0, len(at), 20_000):
                     some = at[lo : lo + 20_000]
                     take = pa.array(rows[some])
-                    vectors = [v.tobytes() for v in x[some]]
+                    # as they were given: single precision takes half the room
+                    vectors = [values[ends[i] - dim : ends[i]].tobytes() for i in rows[some]]
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column("label_no").take(take), pa.array(np.full(len(some), dim), pa.int32()),
@@ -116,7 +124,7 @@ def _dealt_cells(books: dict, radius2: float):
                             pa.array((np.arange(lo, lo + len(some)) >= len(x)).astype(np.int8)),
                             batch.column("node").take(take), batch.column("copies").take(take), pa.array(vectors, pa.binary()),
                         ],
-                        ["label_no", "dim", "cell", "query", "node", "copies", "unit"],
+                        ["label_no", "dim", "cell", "query", "node", "copies", "vector"],
                     )
 
     return run
@@ -134,7 +142,9 @@ def _compare(block: pd.DataFrame, least: float, among: bool) -> pd.DataFrame:
     links = np.zeros(len(block), np.int64)
     ends_a, ends_b = [node[:0]], [node[:0]]
     if len(inside) and len(order):
-        x = np.stack([np.frombuffer(u) for u in block["unit"]])
+        dim = int(block["dim"].iloc[0])
+        kind = np.float64 if len(block["vector"].iloc[0]) == 8 * dim else np.float32
+        x = _units(np.frombuffer(b"".join(block["vector"]), kind).reshape(-1, dim).astype(np.float64))
         for at in range(0, len(order), 512):
             some = order[at : at + 512]
             hit = (x[some] @ x[inside].T >= least) & (node[some][:, None] != node[inside])
@@ -171,13 +181,13 @@ def near_duplicates(
         F.first("label_no").alias("label_no"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"),
     )
     nodes = store(nodes, "vectors")
-    n = nodes.count()
+    n, largest = nodes.groupBy("label_no").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
     sample = nodes.select("embedding").sample(min(1.0, 1.2 * SAMPLE / max(n, 1)), seed=SEED).limit(SAMPLE).toArrow()
     units = [x for _, x in unit_vectors(sample.column("embedding").combine_chunks())] if sample.num_rows else []
-    k = int(min(CENTRES, max(1, round((n / CELL) ** 0.5))))
+    k = int(min(CENTRES, max(1, round((largest / CELL) ** 0.5))))
     books = codebooks([x for x in units if x.shape[1] > 1], k)
     radius2 = (2 - 2 * least) * (1 + 1e-9) + 1e-12
-    cells = store(nodes.select("label_no", "node", "copies", "embedding").mapInArrow(_dealt_cells(books, radius2), "label_no long, dim int, cell long, query byte, node long, copies long, unit binary"), "cells")
+    cells = store(nodes.select("label_no", "node", "copies", "embedding").mapInArrow(_dealt_cells(books, radius2), "label_no long, dim int, cell long, query byte, node long, copies long, vector binary"), "cells")
     keys = ["label_no", "dim", "cell"]
     own, other = F.col("query") == 0, F.col("query") == 1
     sizes = cells.groupBy(keys).agg(F.count_if(own).alias("points"), F.count_if(other).alias("queries")).where("points > 0")
@@ -185,11 +195,11 @@ def near_duplicates(
     sized = cells.join(sizes, keys)
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     p, q = F.pmod(F.xxhash64("node"), "ps"), F.pmod(F.xxhash64("node"), "qs")
-    held = ["query", "node", "copies", "unit"]
+    held = ["query", "node", "copies", "vector"]
     dealt = sized.select(*keys, F.explode(F.when(own, F.array(p)).otherwise(upto("ps"))).alias("p"), F.when(other, F.array(q)).otherwise(upto("qs")).alias("q"), *held)
     dealt = dealt.select(*keys, "p", F.explode("q").alias("q"), *held)
     # a block's own vectors are compared with each other in its first query block only
-    later = sized.where(own & (F.col("ps") > 1)).withColumn("mine", p).select(*keys, F.explode(upto("ps")).alias("p"), q.alias("q"), F.lit(1).cast("byte").alias("query"), "node", "copies", "unit", "mine").where("p > mine").drop("mine")
+    later = sized.where(own & (F.col("ps") > 1)).withColumn("mine", p).select(*keys, F.explode(upto("ps")).alias("p"), q.alias("q"), F.lit(1).cast("byte").alias("query"), "node", "copies", "vector", "mine").where("p > mine").drop("mine")
     blocks = dealt.unionByName(later)
 
     def compare(key: tuple, block: pd.DataFrame) -> pd.DataFrame:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from pairlab.llm import embedding_dedup, neighbours, passages, simhash
+from pairlab.llm import common, embedding_dedup, neighbours, passages, simhash
 from pairlab.llm.common import components, edge_roots
 
 DOCS = "doc_id long, text string, fingerprint int, component_id string"
@@ -102,6 +102,19 @@ def test_embedding_links_equal_brute_force(spark, cell, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_small_labels_are_not_dealt_again(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(size=6)], i % 20) for i in range(3_000)]
+    stored = {}
+    monkeypatch.setattr(embedding_dedup, "store", lambda df, name: stored.setdefault(name, common.store(df, name)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert embedding_dedup.near_duplicates(df).count() == 3_000
+    # a label fits in one cell, so every vector is written once, as wide as it was given
+    assert stored["cells"].count() == 3_000
+    assert {r[0] for r in stored["cells"].selectExpr("length(vector)").distinct().collect()} == {24}
+
+
+
 def test_neighbours_reach_the_recall_and_break_ties_by_id(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 16))
